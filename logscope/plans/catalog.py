@@ -55,7 +55,25 @@ def filled(spark: SparkSession, sf: str) -> DataFrame:
     return fill_content_size(parsed(spark, sf))
 
 
+_REQUESTS_OVERRIDE: dict[tuple[int, str], DataFrame] = {}
+
+
+def use_materialized(spark: SparkSession, sf: str, requests: DataFrame | None) -> None:
+    """Serve ``R`` for (spark, sf) from a materialised request table (A6),
+    e.g. ``read_requests(spark, path)``; ``None`` restores the parse path."""
+    key = (id(spark), sf)
+    if requests is None:
+        _REQUESTS_OVERRIDE.pop(key, None)
+    else:
+        _REQUESTS_OVERRIDE[key] = requests
+
+
 def R(spark: SparkSession, sf: str) -> DataFrame:
+    """The request table: derived lines parsed on the fly, or the
+    materialised parquet table when one was registered."""
+    m = _REQUESTS_OVERRIDE.get((id(spark), sf))
+    if m is not None:
+        return m.select("host", "method", "endpoint", "protocol", "status", "content_size", "time")
     return requests_table(lines(spark, sf))
 
 
