@@ -31,13 +31,25 @@ def _date(x):
     return F.lit(x)
 
 
+def _prune_dates(df: DataFrame, lo=None, hi=None) -> DataFrame:
+    """On the materialised table (partition column ``date``) add the same
+    range on ``date`` so the scan skips whole partitions; a no-op otherwise."""
+    if "date" not in df.columns:
+        return df
+    if lo is not None:
+        df = df.filter(F.col("date") >= _date(lo))
+    if hi is not None:
+        df = df.filter(F.col("date") <= _date(hi))
+    return df
+
+
 def filter_time_methods(df: DataFrame, start=None, end=None,
                         methods: Sequence[str] | None = None) -> DataFrame:
     """Service filter (D1): optional inclusive wall-clock range and methods.
 
     Empty/None arguments mean "no filter", as in the service.
     """
-    out = df
+    out = _prune_dates(df, start, end)
     if start is not None:
         out = out.filter(F.col("time") >= _ts(start))
     if end is not None:
@@ -54,7 +66,7 @@ def filter_page(df: DataFrame, start_date=None, end_date=None,
     A ``None`` member of ``statuses`` selects NULL status, as selecting NaN
     does in the dashboard; Spark's ``IN`` alone would drop those rows.
     """
-    out = df
+    out = _prune_dates(df, start_date, end_date)
     d = F.to_date("time")
     if start_date is not None:
         out = out.filter(d >= _date(start_date))

@@ -22,7 +22,7 @@ from logscope.operators import quality as Q
 from logscope.operators import sizes as SZ
 from logscope.operators import table as TB
 from logscope.operators import traffic as TR
-from logscope.operators.parse import fill_content_size, parse_log, parse_no_match, requests_table, with_instant
+from logscope.operators.parse import REQUEST_COLUMNS, fill_content_size, parse_log, parse_no_match, requests_table, with_instant
 from logscope.plans.oracle import (
     day_sql, hour_range_sql, hour_sql, invalid_method_sql, invalid_protocol_sql, sql_str,
     status_category_sql, status_code_sql, time_sql, weekday_abbr_sql, weekday_index_sql,
@@ -73,10 +73,15 @@ def R(spark: SparkSession, sf: str) -> DataFrame:
     materialised parquet table when one was registered."""
     m = _REQUESTS_OVERRIDE.get((id(spark), sf))
     if m is not None:
-        return m.select("host", "method", "endpoint", "protocol", "status", "content_size", "time")
+        return m  # the seven columns plus the partition column ``date``
     return requests_table(lines(spark, sf))
 
 
+def rows(df: DataFrame) -> DataFrame:
+    """The seven request columns (drops ``date`` of the materialised table)."""
+    return df.select(*REQUEST_COLUMNS)
+
+
 def _cast_big(expr: str) -> str:
     return f"CAST({expr} AS BIGINT)"
 
@@ -123,18 +128,18 @@ def q_scan_multi(spark, sf):
 
 @register("table_shape", with_base("SELECT count(*) AS n_rows, CAST(7 AS INTEGER) AS n_columns FROM r"))
 def q_table_shape(spark, sf):
-    return TB.table_shape(R(spark, sf))
+    return TB.table_shape(rows(R(spark, sf)))
 
 
 @register("table_schema")
 def q_table_schema(spark, sf):
-    return TB.table_schema(R(spark, sf))
+    return TB.table_schema(rows(R(spark, sf)))
 
 
 @register("preview", with_base(
     "SELECT * FROM r ORDER BY " + ", ".join(f"{c} ASC NULLS FIRST" for c in R_COLS.split(", ")) + " LIMIT 10"))
 def q_preview(spark, sf):
-    return TB.preview(R(spark, sf), 10)
+    return TB.preview(rows(R(spark, sf)), 10)
 
 
 @register("filtered_rows", with_base(f"SELECT {R_COLS} FROM r"))
@@ -142,7 +147,7 @@ def q_filtered_rows(spark, sf):
     """Raw rows under the dashboard's default selection (A7): all dates,
     every status including NULL, every method."""
     r = R(spark, sf)
-    return FL.filter_page(r).select("*")
+    return rows(FL.filter_page(r))
 
 
 # ---------------------------------------------------------------- B: parse
@@ -180,7 +185,7 @@ def q_fill_content_size(spark, sf):
 
 @register("parse_time", with_base(f"SELECT {R_COLS} FROM r"))
 def q_parse_time(spark, sf):
-    return R(spark, sf)
+    return rows(R(spark, sf))
 
 
 @register("parse_time_instant", with_base(
@@ -323,7 +328,7 @@ def _in_list(vals) -> str:
     f"SELECT {R_COLS} FROM r WHERE time >= TIMESTAMP '{SERVICE_START}' AND time <= TIMESTAMP '{SERVICE_END}' "
     f"AND method IN ({_in_list(SERVICE_METHODS)})"))
 def q_filter_time_methods(spark, sf):
-    return FL.filter_time_methods(R(spark, sf), SERVICE_START, SERVICE_END, SERVICE_METHODS)
+    return rows(FL.filter_time_methods(R(spark, sf), SERVICE_START, SERVICE_END, SERVICE_METHODS))
 
 
 _PAGE_WHERE = (f"CAST(time AS DATE) >= DATE '{PAGE_START}' AND CAST(time AS DATE) <= DATE '{PAGE_END}' "
@@ -337,7 +342,7 @@ def _page(spark, sf):
 
 @register("filter_page", with_base(f"SELECT {R_COLS} FROM r WHERE {_PAGE_WHERE}"))
 def q_filter_page(spark, sf):
-    return _page(spark, sf)
+    return rows(_page(spark, sf))
 
 
 @register("filter_domains", with_base(
