@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 
 def _ts(x):
+    """Wall-clock literal; built from text so no zone conversion applies."""
     if x is None:
         return None
     if isinstance(x, str):
         x = dt.datetime.fromisoformat(x)
     if isinstance(x, dt.date) and not isinstance(x, dt.datetime):
         x = dt.datetime(x.year, x.month, x.day)
-    return F.lit(x.replace(tzinfo=None)).cast("timestamp_ntz")
+    return F.lit(x.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _date(x):
@@ -28,7 +29,7 @@ def _date(x):
         x = dt.date.fromisoformat(x[:10])
     if isinstance(x, dt.datetime):
         x = x.date()
-    return F.lit(x)
+    return F.lit(x.isoformat()).cast("date")
 
 
 def _prune_dates(df: DataFrame, lo=None, hi=None) -> DataFrame:

@@ -143,3 +143,16 @@ def test_scaled_features_are_standardised(r):
     st = z.agg(*[F.avg(c).alias(c) for c in z.columns if c.startswith("z_")]).collect()[0]
     for v in st:
         assert abs(v) < 1e-5
+
+
+def test_time_filter_independent_of_session_zone(spark, lines_df):
+    df = requests_table(lines_df([_line(ts="01/Jul/1995:10:00:00"), _line(ts="01/Jul/1995:12:00:00")]))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = FL.filter_time_methods(df, "1995-07-01 09:30:00", "1995-07-01 10:30:00").count()
+        ny_page = FL.filter_page(df, "1995-07-01", "1995-07-01").count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ny == 1 and ny_page == 2
+    assert FL.filter_time_methods(df, "1995-07-01 09:30:00", "1995-07-01 10:30:00").count() == 1
