@@ -3,15 +3,16 @@
 Model per series: linear trend by ordinary least squares on the day
 index (``regr_slope`` / ``regr_intercept``), plus the mean residual of
 each weekday, with a band of +-z * (standard deviation of what is left).
-Everything is a grouped aggregate or an equi-join on the series key, so
-many series (say one per host) forecast in parallel.
+All statistics are window aggregates partitioned by the series key (one
+shuffle), then one ``groupBy(key)`` builds the model row, so many series
+(say one per host) forecast in parallel with no joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.functions.numeric import round_to
@@ -33,30 +34,34 @@ def forecast(history: DataFrame, periods: int = 30, keys: Sequence[str] = (), z:
     Output ``(keys..., ds, yhat, yhat_lower, yhat_upper)``.
     """
     out_keys = list(keys)
-    # a single series gets a constant key so every step is an equi-join
+    # a single series gets a constant key; its window then holds one row per day
     keys = out_keys or ["_series"]
     h = history.select(*[F.col(k) for k in out_keys], *([] if out_keys else [F.lit(0).alias("_series")]),
                        "ds", F.col("y").cast("double").alias("y"))
-    span = h.groupBy(*keys).agg(F.min("ds").alias("d0"), F.max("ds").alias("d1"))
-    hx = h.join(span, keys).withColumn("x", F.datediff("ds", "d0").cast("double"))
-    fit = hx.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"),
-                                F.regr_intercept("y", "x").alias("icpt"))
-    res = (hx.join(fit, keys).withColumn("wd", F.weekday("ds"))
-           .withColumn("resid", F.col("y") - (F.col("icpt") + F.col("slope") * F.col("x"))))
-    eff = res.groupBy(*keys, "wd").agg(F.avg("resid").alias("effect"))
-    sig = (res.join(eff, keys + ["wd"]).groupBy(*keys)
-           .agg(F.stddev_samp(F.col("resid") - F.col("effect")).alias("sigma")))
-    model = span.join(fit, keys).join(sig, keys)
-    fut = model.select(*keys, "d0", "slope", "icpt", "sigma",
-                       F.explode(F.sequence(F.date_add("d1", 1), F.date_add("d1", periods))).alias("ds"))
-    fut = (fut.withColumn("x", F.datediff("ds", "d0").cast("double"))
+    series = Window.partitionBy(*keys)
+    fitted = (h.withColumn("d0", F.min("ds").over(series))
+              .withColumn("x", F.datediff("ds", "d0").cast("double"))
+              .withColumn("slope", F.regr_slope("y", "x").over(series))
+              .withColumn("icpt", F.regr_intercept("y", "x").over(series))
               .withColumn("wd", F.weekday("ds"))
-              .join(eff, keys + ["wd"], "left"))
-    yhat = F.col("icpt") + F.col("slope") * F.col("x") + F.coalesce(F.col("effect"), F.lit(0.0))
+              .withColumn("resid", F.col("y") - (F.col("icpt") + F.col("slope") * F.col("x")))
+              .withColumn("effect", F.avg("resid").over(Window.partitionBy(*keys, "wd")))
+              .withColumn("sigma", F.stddev_samp(F.col("resid") - F.col("effect")).over(series)))
+    # one model row per series; the weekday effects are a map of <= 7 entries
+    model = fitted.groupBy(*keys).agg(
+        F.max("ds").alias("d1"), F.max("d0").alias("d0"), F.max("slope").alias("slope"),
+        F.max("icpt").alias("icpt"), F.max("sigma").alias("sigma"),
+        F.map_from_entries(F.collect_set(F.struct("wd", "effect"))).alias("effects"))
+    fut = model.select(*keys, "d0", "slope", "icpt", "sigma", "effects",
+                       F.explode(F.sequence(F.date_add("d1", 1), F.date_add("d1", periods))).alias("ds"))
+    x = F.datediff("ds", "d0").cast("double")
+    effect = F.coalesce(F.try_element_at("effects", F.weekday("ds")), F.lit(0.0))
+    yhat = F.col("icpt") + F.col("slope") * x + effect
     band = F.lit(z) * F.coalesce(F.col("sigma"), F.lit(0.0))
-    return fut.select(*out_keys, "ds", round_to(yhat, digits).alias("yhat"),
-                      round_to(yhat - band, digits).alias("yhat_lower"),
-                      round_to(yhat + band, digits).alias("yhat_upper")).orderBy(*out_keys, "ds")
+    out = fut.select(*out_keys, "ds", yhat.alias("yhat"), band.alias("band"))
+    return out.select(*out_keys, "ds", round_to(F.col("yhat"), digits).alias("yhat"),
+                      round_to(F.col("yhat") - F.col("band"), digits).alias("yhat_lower"),
+                      round_to(F.col("yhat") + F.col("band"), digits).alias("yhat_upper")).orderBy(*out_keys, "ds")
 
 
 def traffic_forecast(df: DataFrame, periods: int = 30) -> DataFrame:

@@ -236,3 +236,25 @@ def segment_profile_rule(df: DataFrame, k: int = 4) -> DataFrame:
     days = day_table(df)
     w = Window.orderBy("total_reqs", "day")  # <= 31 rows
     return profile_segments(days.withColumn("segment", F.ntile(k).over(w) - 1))
+
+
+def train_and_analyze(df: DataFrame, k: int = 4, seed: int = 42) -> dict:
+    """The whole host-segmentation pipeline (M9): features -> scaled PCA ->
+    k-means -> evaluation -> centres, importance, separation. One fit;
+    every returned table is a DataFrame (the metrics are one-row tables)."""
+    feats = host_ml_features(df)
+    model = train_kmeans(feats, k, seed)
+    pred = model.transform(feats)
+    sil = ClusteringEvaluator(predictionCol="segment", featuresCol="features",
+                              metricName="silhouette").evaluate(pred)
+    sizes = pred.groupBy("segment").agg(F.count(F.lit(1)).alias("size")).orderBy("segment")
+    centers = _segment_centers(pred).orderBy("segment")
+    long = centers.select("segment", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in FEATURES])))
+    importance = (long.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
+                  .orderBy(F.col("importance").desc(), "feature"))
+    metrics = df.sparkSession.createDataFrame([(float(sil), float(model.summary.trainingCost))],
+                                              "silhouette double, wssse double")
+    return {"model": model, "features": feats, "segments": pred.select("host", "segment"),
+            "evaluation": metrics, "cluster_sizes": sizes, "centers": centers,
+            "feature_importance": importance, "cluster_separation": cluster_separation(centers, FEATURES, k)}

@@ -877,3 +877,64 @@ def _profile_rule_sql(k: int = 4) -> str:
 @register("segment_profile_rule", _profile_rule_sql())
 def q_segment_profile_rule(spark, sf):
     return SG.segment_profile_rule(R(spark, sf))
+
+
+# ---------------------------------------------------------------- service / page variants
+
+from logscope.operators.service import Dashboard, LogService  # noqa: E402
+
+_WINDOW = f"time >= TIMESTAMP '{SERVICE_START}' AND time <= TIMESTAMP '{SERVICE_END}'"
+_WINDOW_M = f"{_WINDOW} AND method IN ({_in_list(SERVICE_METHODS)})"
+
+
+def _svc(spark, sf) -> LogService:
+    return LogService(R(spark, sf))
+
+
+def _dash(spark, sf) -> Dashboard:
+    return Dashboard(R(spark, sf), PAGE_START, PAGE_END, PAGE_STATUSES, PAGE_METHODS)
+
+
+@register("status_distribution_filtered", with_base(
+    f"SELECT {status_category_sql()} AS status_category, count(*) AS count FROM r WHERE {_WINDOW_M} GROUP BY 1"))
+def q_status_distribution_filtered(spark, sf):
+    return _svc(spark, sf).status_distribution(SERVICE_START, SERVICE_END, SERVICE_METHODS)
+
+
+@register("host_frequency_window", _top_sql("host", 20, _WINDOW))
+def q_host_frequency_window(spark, sf):
+    return _svc(spark, sf).host_frequency(20, SERVICE_START, SERVICE_END)
+
+
+@register("hourly_traffic_window", with_base(
+    f"SELECT {hour_sql()} AS hour, count(*) AS count FROM r WHERE time IS NOT NULL AND {_WINDOW} GROUP BY 1"))
+def q_hourly_traffic_window(spark, sf):
+    return _svc(spark, sf).traffic_pattern("hourly", SERVICE_START, SERVICE_END)
+
+
+@register("daily_traffic_window", with_base(
+    f"SELECT {weekday_name_sql()} AS day, count(*) AS count FROM r WHERE time IS NOT NULL AND {_WINDOW} "
+    "GROUP BY 1"))
+def q_daily_traffic_window(spark, sf):
+    return _svc(spark, sf).traffic_pattern("daily", SERVICE_START, SERVICE_END)
+
+
+@register("page_status_distribution", with_base(
+    f"SELECT {status_category_sql()} AS status_category, count(*) AS count FROM r WHERE {_PAGE_WHERE} GROUP BY 1"))
+def q_page_status_distribution(spark, sf):
+    return _dash(spark, sf).status_distribution()
+
+
+@register("page_method_share", with_base(
+    "SELECT method, count(*) AS count, round(CAST(count(*) AS DOUBLE) / "
+    f"CAST((SELECT count(*) FROM r WHERE {_PAGE_WHERE}) AS DOUBLE) * 100, 2) AS percentage "
+    f"FROM r WHERE {_PAGE_WHERE} GROUP BY method"))
+def q_page_method_share(spark, sf):
+    return _dash(spark, sf).method_distribution()
+
+
+@register("page_weekday_traffic", with_base(
+    f"SELECT {weekday_name_sql()} AS day, count(*) AS count, {weekday_index_sql()} AS sort_key FROM r "
+    f"WHERE time IS NOT NULL AND {_PAGE_WHERE} GROUP BY 1, 3"))
+def q_page_weekday_traffic(spark, sf):
+    return _dash(spark, sf).daily_traffic()

@@ -94,3 +94,10 @@ def test_feature_importance_sorted(r):
 
 def test_host_pca_width(r):
     assert SG.host_ml_features(r).select(F.size(F.lit([1]))).count() == r.select("host").distinct().count()
+
+
+def test_train_and_analyze(r):
+    out = SG.train_and_analyze(r)
+    assert sum(x["size"] for x in out["cluster_sizes"].collect()) == out["segments"].count()
+    assert out["cluster_separation"].count() == 16
+    assert out["evaluation"].count() == 1
