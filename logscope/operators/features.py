@@ -55,15 +55,20 @@ def host_features_scaled(df: DataFrame, digits: int = 6) -> DataFrame:
     """Z-scores of the seven features with sample standard deviation, as
     ``StandardScaler(withMean, withStd)`` computes them; zero spread -> 0.
 
-    The 14 means/deviations are scalar subqueries over one input, which
-    the optimizer merges into a single aggregate.
+    Like a scaler fit, the 14 means and deviations come from one bounded
+    one-row aggregate (run when the plan is built); the transform is then
+    a narrow projection with literal constants.
     """
     x = ml_ready(host_features_derived(df))
+    stats = x.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES],
+                  *[F.stddev_samp(c).alias(f"s_{c}") for c in FEATURES]).first()
     cols = ["host"]
     for c in FEATURES:
-        mean = x.select(F.avg(c)).scalar()
-        std = x.select(F.stddev_samp(c)).scalar()
-        z = F.when(std == 0, F.lit(0.0)).otherwise((F.col(c) - mean) / std)
+        mean, std = stats[f"m_{c}"], stats[f"s_{c}"]
+        if mean is None or std is None or std == 0:
+            z = F.when(F.col(c).isNotNull(), F.lit(0.0)) if std == 0 else F.lit(None).cast("double")
+        else:
+            z = (F.col(c) - F.lit(float(mean))) / F.lit(float(std))
         cols.append(round_to(z, digits).alias(f"z_{c}"))
     return x.select(*cols)
 

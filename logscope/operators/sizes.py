@@ -106,26 +106,34 @@ def _numpy_bins(xs: DataFrame, first: Column, last: Column, bins: int) -> DataFr
     return step1.select(F.when(up, F.col("i") + 1).otherwise(F.col("i")).alias("bin"))
 
 
+def numpy_range(df: DataFrame, x: Column) -> tuple[float, float]:
+    """numpy's histogram range: (min, max), widened by 0.5 each side when
+    constant, (0, 1) when empty. One bounded one-row aggregate, run when
+    the plan is built (like an estimator fit), so the per-row pass below
+    sees plain literals."""
+    row = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
+    if not row["n"]:
+        return 0.0, 1.0
+    lo, hi = float(row["lo"]), float(row["hi"])
+    return (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+
+
 def size_histogram(df: DataFrame, bins: int = 50, col: str = "content_size", scale: float = KB) -> DataFrame:
     """Equal-width histogram of ``col / scale`` with numpy's edge rules.
 
     Rows ``(bin, bin_start, bin_end, count)`` for every bin, empty bins 0.
+    Pass 1 is the range aggregate; pass 2 one ``groupBy(bin)`` with
+    partial aggregation, so at most ``bins`` rows per task are shuffled.
     """
     x = F.col(col).cast("double") / F.lit(scale)
-    rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"))
-    rng = rng.select(
-        F.when(F.col("n") == 0, F.lit(0.0)).when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5)
-        .otherwise(F.col("lo")).alias("first"),
-        F.when(F.col("n") == 0, F.lit(1.0)).when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5)
-        .otherwise(F.col("hi")).alias("last"))
-    first = rng.select("first").scalar()
-    last = rng.select("last").scalar()
+    lo, hi = numpy_range(df, x)
+    first, last = F.lit(lo), F.lit(hi)
     xs = df.select(x.alias("x")).where(F.col("x").isNotNull())
     counts = _numpy_bins(xs, first, last, bins).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    axis = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "first", "last")
-    axis = axis.select(F.col("bin").cast("bigint").alias("bin"),
-                       _edge(F.col("bin"), F.col("first"), F.col("last"), bins).alias("bin_start"),
-                       _edge(F.col("bin") + 1, F.col("first"), F.col("last"), bins).alias("bin_end"))
+    axis = df.sparkSession.range(bins).select(
+        F.col("id").alias("bin"),
+        _edge(F.col("id"), first, last, bins).alias("bin_start"),
+        _edge(F.col("id") + 1, first, last, bins).alias("bin_end"))
     # both sides have at most ``bins`` rows
     return (axis.join(F.broadcast(counts), "bin", "left")
             .select("bin", "bin_start", "bin_end", F.coalesce("count", F.lit(0)).alias("count"))
@@ -147,13 +155,16 @@ def _nice_width(raw: Column, lo_exp: int = -6, hi_exp: int = 15) -> Column:
 
 def size_histogram_nice(df: DataFrame, max_bins: int = 50, col: str = "content_size",
                         scale: float = KB) -> DataFrame:
-    """Display histogram (E19): the smallest 1/2/5 x 10^k width giving at most
-    ``max_bins`` bins, bins aligned to multiples of the width."""
+    """Display histogram (E19): bin width = the smallest 1/2/5 x 10^k not
+    below ``range / max_bins``; bins aligned to multiples of the width.
+    Only non-empty bins are returned."""
     x = F.col(col).cast("double") / F.lit(scale)
     rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     rng = rng.select("lo", _nice_width((F.col("hi") - F.col("lo")) / F.lit(float(max_bins))).alias("w"))
-    w = rng.select("w").scalar()
-    base = rng.select(F.floor(F.col("lo") / F.col("w"))).scalar()
+    row = rng.select("w", F.floor(F.col("lo") / F.col("w")).alias("base")).first()  # one row
+    if row is None or row["w"] is None:
+        return df.sparkSession.createDataFrame([], "bin bigint, bin_start double, bin_end double, count bigint")
+    w, base = F.lit(float(row["w"])), F.lit(int(row["base"]))
     counts = (df.select(x.alias("x")).where(F.col("x").isNotNull())
               .groupBy((F.floor(F.col("x") / w) - base).alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
