@@ -48,8 +48,13 @@ def exact_median(df: DataFrame, col: str, shift: int = 16) -> DataFrame:
     """Exact median of an integral column as a one-row DataFrame ``median``.
 
     Average of the two middle values for an even count (like pandas and
-    ``quantile_cont``); NULL for no rows.
+    ``quantile_cont``); NULL for no rows. Input must be an integer type of
+    at most 32 bits, so the bucket table has at most 2**(32 - shift) rows
+    and a bucket at most 2**shift distinct values.
     """
+    kind = dict(df.dtypes)[col]
+    if kind not in ("int", "smallint", "tinyint"):
+        raise TypeError(f"exact_median needs a <= 32-bit integer column, got {kind}")
     v = F.col(col).cast("bigint")
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
     bucket = F.shiftright("v", shift)
