@@ -133,16 +133,14 @@ def size_histogram(df: DataFrame, bins: int = 50, col: str = "content_size", sca
     x = F.col(col).cast("double") / F.lit(scale)
     lo, hi = numpy_range(df, x)
     first, last = F.lit(lo), F.lit(hi)
-    xs = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    xs = df.where(F.col(col).isNotNull()).select(x.alias("x"))
     counts = _numpy_bins(xs, first, last, bins).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    axis = df.sparkSession.range(bins).select(
-        F.col("id").alias("bin"),
-        _edge(F.col("id"), first, last, bins).alias("bin_start"),
-        _edge(F.col("id") + 1, first, last, bins).alias("bin_end"))
-    # both sides have at most ``bins`` rows
-    return (axis.join(F.broadcast(counts), "bin", "left")
-            .select("bin", "bin_start", "bin_end", F.coalesce("count", F.lit(0)).alias("count"))
-            .orderBy("bin"))
+    # every bin, empty ones included: union a zero row per bin and re-sum
+    # (no join, so no inferred filter is pushed back into the row pass)
+    zeros = df.sparkSession.range(bins).select(F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("count"))
+    hist = counts.unionByName(zeros).groupBy("bin").agg(F.sum("count").cast("bigint").alias("count"))
+    return hist.select("bin", _edge(F.col("bin"), first, last, bins).alias("bin_start"),
+                       _edge(F.col("bin") + 1, first, last, bins).alias("bin_end"), "count").orderBy("bin")
 
 
 # The 1-2-5 ladder of "nice" bin widths.
@@ -170,7 +168,7 @@ def size_histogram_nice(df: DataFrame, max_bins: int = 50, col: str = "content_s
     if row is None or row["w"] is None:
         return df.sparkSession.createDataFrame([], "bin bigint, bin_start double, bin_end double, count bigint")
     w, base = F.lit(float(row["w"])), F.lit(int(row["base"]))
-    counts = (df.select(x.alias("x")).where(F.col("x").isNotNull())
+    counts = (df.where(F.col(col).isNotNull()).select(x.alias("x"))
               .groupBy((F.floor(F.col("x") / w) - base).alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     return counts.select("bin", ((F.col("bin") + base).cast("double") * w).alias("bin_start"),
