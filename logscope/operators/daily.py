@@ -16,6 +16,11 @@ def unique_hosts(df: DataFrame) -> DataFrame:
     return df.agg(F.countDistinct("host").alias("unique_hosts"))
 
 
+def host_day_pairs(df: DataFrame) -> DataFrame:
+    """(host, day-of-month) of every request (E13, before de-duplication)."""
+    return df.select("host", F.dayofmonth("time").alias("day"))
+
+
 def host_day_distinct(df: DataFrame) -> DataFrame:
     """Distinct (host, day-of-month) pairs (E13); partial dedup per task."""
     return df.select("host", F.dayofmonth("time").alias("day")).dropDuplicates()

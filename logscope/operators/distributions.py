@@ -23,6 +23,12 @@ def counts_by(df: DataFrame, key, name: str | None = None) -> DataFrame:
     return df.groupBy(col.alias(alias)).agg(F.count(F.lit(1)).alias("count"))
 
 
+def group_count(df: DataFrame, key: str, name: str = "n_groups") -> DataFrame:
+    """Number of distinct ``key`` groups, NULL counted as one group, as
+    ``groupBy(key).count().count()`` gives; one two-phase aggregate."""
+    return df.groupBy(key).agg(F.lit(1).alias("_g")).agg(F.count(F.lit(1)).alias(name))
+
+
 def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return (counts_by(df, key)
             .orderBy(F.col("count").desc(), F.col(key).asc_nulls_first())

@@ -938,3 +938,40 @@ def q_page_method_share(spark, sf):
     f"WHERE time IS NOT NULL AND {_PAGE_WHERE} GROUP BY 1, 3"))
 def q_page_weekday_traffic(spark, sf):
     return _dash(spark, sf).daily_traffic()
+
+
+# ---------------------------------------------------------------- group counts, raw views
+
+def _group_count_sql(key: str, out: str) -> str:
+    return with_base(f"SELECT count(*) AS {out} FROM (SELECT {key} FROM r GROUP BY {key})")
+
+
+@register("status_distinct", _group_count_sql("status", "n_statuses"))
+def q_status_distinct(spark, sf):
+    """Number of status groups, NULL status counted as one."""
+    return DS.group_count(R(spark, sf), "status", "n_statuses")
+
+
+@register("content_size_distinct", _group_count_sql("content_size", "n_sizes"))
+def q_content_size_distinct(spark, sf):
+    return DS.group_count(R(spark, sf), "content_size", "n_sizes")
+
+
+@register("method_distinct", _group_count_sql("method", "n_methods"))
+def q_method_distinct(spark, sf):
+    return DS.group_count(R(spark, sf), "method", "n_methods")
+
+
+@register("host_day_pairs", with_base(f"SELECT host, {day_sql()} AS day FROM r"))
+def q_host_day_pairs(spark, sf):
+    return DY.host_day_pairs(R(spark, sf))
+
+
+@register("lines_shape", with_base("SELECT count(*) AS n_rows, CAST(1 AS INTEGER) AS n_columns FROM lines"))
+def q_lines_shape(spark, sf):
+    return TB.table_shape(lines(spark, sf))
+
+
+@register("preview_lines", with_base("SELECT value FROM lines ORDER BY value ASC NULLS FIRST LIMIT 10"))
+def q_preview_lines(spark, sf):
+    return TB.preview(lines(spark, sf), 10)
