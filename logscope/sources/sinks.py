@@ -11,21 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialize_requests(requests: DataFrame, path: str, mode: str = "overwrite",
-                         partitions: int | None = None) -> None:
+def materialize_requests(requests: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the request table as parquet partitioned by ``date``.
 
-    ``repartitionByRange('date', 'time')`` cuts the data into contiguous,
-    equally sized (date, time) ranges from a deterministic sample: a date
-    holding a third of all rows is spread over a third of the tasks rather
-    than one, each task writes one or two date folders, and rows inside a
-    file are ordered by time so parquet row-group statistics skip on time
-    filters. Range bounds are deterministic, so a retried task rebuilds
-    exactly its own rows after an executor loss.
+    ``rebalance`` on ``date`` hash-distributes rows by date and lets AQE
+    split any oversized partition at map-output boundaries (and merge
+    small ones): a date, or a group of identical lines, holding a third of
+    all rows is written by many tasks, not one, while most tasks write a
+    single date folder. Inside each task rows are sorted by time, so
+    parquet row-group statistics skip on time filters. The distribution
+    is deterministic, so a retried task rebuilds exactly its own rows.
     """
-    r = requests.withColumn("date", F.to_date("time"))
-    r = r.repartitionByRange(partitions, "date", "time") if partitions else r.repartitionByRange("date", "time")
-    (r.sortWithinPartitions("date", "time")
+    (requests.withColumn("date", F.to_date("time"))
+     .hint("rebalance", "date")
+     .sortWithinPartitions("date", "time")
      .write.mode(mode)
      .option("maxRecordsPerFile", 5_000_000)
      .partitionBy("date")
