@@ -51,25 +51,24 @@ def content_size(value: str | Column = "value") -> Column:
     return F.regexp_extract(_c(value), P.CONTENT_SIZE_PATTERN, 1).try_cast("int")
 
 
-def _month_number(abbr: Column) -> Column:
-    pairs = []
-    for i, m in enumerate(P.MONTHS, start=1):
-        pairs += [F.lit(m), F.lit(f"{i:02d}")]
-    return F.try_element_at(F.create_map(*pairs), abbr)
+# Reorders the matched CLF time text into ISO order with the month name
+# still in place: dd/Mon/yyyy:HH:mm:ss -zzzz -> yyyy-Mon-dd HH:mm:ss.
+_ISO_ORDER = r"^(\d{2})/(\w{3})/(\d{4}):(\d{2}):(\d{2}):(\d{2}).*$"
 
 
 def clf_time(ts_text: str | Column = "timestamp") -> Column:
     """Wall-clock ``timestamp_ntz`` from CLF time text; the offset is ignored.
 
-    Builds ``yyyy-MM-dd HH:mm:ss`` from fixed slices and a month lookup and
-    casts with ``try_cast``: unknown month, impossible date, hour 24 or
-    ``''`` give NULL instead of failing the job.
+    One ``regexp_replace`` puts the fields in ISO order, a chain of literal
+    ``replace`` calls turns the (case-sensitive) month name into its number,
+    and ``try_cast`` gives NULL for an unknown month, an impossible date,
+    hour 24 or ``''`` instead of failing the job. Every step reads its input
+    once, so a filter on ``time`` that Catalyst pushes down through the
+    parse evaluates the timestamp pattern once, not once per field.
     """
-    t = _c(ts_text)
-    text = F.concat(
-        F.substring(t, 8, 4), F.lit("-"), _month_number(F.substring(t, 4, 3)),
-        F.lit("-"), F.substring(t, 1, 2), F.lit(" "), F.substring(t, 13, 2),
-        F.lit(":"), F.substring(t, 16, 2), F.lit(":"), F.substring(t, 19, 2))
+    text = F.regexp_replace(_c(ts_text), _ISO_ORDER, "$3-$2-$1 $4:$5:$6")
+    for i, m in enumerate(P.MONTHS, start=1):
+        text = F.replace(text, F.lit(m), F.lit(f"{i:02d}"))
     return text.try_cast("timestamp_ntz")
 
 
