@@ -14,21 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logscope.functions import patterns as P
+from logscope.functions.numeric import round_to
+from logscope.operators import anomalies as AN
 from logscope.operators import breakdowns as BD
 from logscope.operators import daily as DY
 from logscope.operators import distributions as DS
+from logscope.operators import features as FT
+from logscope.operators import forecast as FC
 from logscope.operators import filters as FL
 from logscope.operators import quality as Q
+from logscope.operators import segments as SG
 from logscope.operators import sizes as SZ
 from logscope.operators import table as TB
 from logscope.operators import traffic as TR
-from logscope.operators.parse import REQUEST_COLUMNS, fill_content_size, parse_log, parse_no_match, requests_table, with_instant
+from logscope.operators.parse import (
+    REQUEST_COLUMNS, fill_content_size, parse_log, parse_no_match, requests_table, with_instant)
+from logscope.operators.service import Dashboard, LogService
 from logscope.plans.oracle import (
     day_sql, hour_range_sql, hour_sql, invalid_method_sql, invalid_protocol_sql, sql_str,
     status_category_sql, status_code_sql, time_sql, weekday_abbr_sql, weekday_index_sql,
     weekday_name_sql, with_base)
 from logscope.session import shared_path
-from logscope.sources.logs import load_log_lines, read_log_text
+from logscope.sources.logs import load_log_lines, log_lines_from_events, read_log_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,7 +125,6 @@ def q_scan_multi(spark, sf):
     """Multi-file combine (A2): two text files (first and second half of
     the month, like July and August) read as one union-all scan."""
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    from logscope.sources.logs import log_lines_from_events
     day = F.dayofmonth("ts")
     p1, p2 = shared_path(spark, "log-part1"), shared_path(spark, "log-part2")
     log_lines_from_events(ev.where(day <= 15)).write.mode("overwrite").text(p1)
@@ -715,11 +721,6 @@ def q_page_totals(spark, sf):
 
 # ---------------------------------------------------------------- M: models
 
-from logscope.functions.numeric import round_to  # noqa: E402
-from logscope.operators import anomalies as AN  # noqa: E402
-from logscope.operators import features as FT  # noqa: E402
-from logscope.operators import forecast as FC  # noqa: E402
-from logscope.operators import segments as SG  # noqa: E402
 
 _FEAT_ROUNDED = ["avg_content_size", "std_content_size", "avg_timestamp"]
 
@@ -881,7 +882,6 @@ def q_segment_profile_rule(spark, sf):
 
 # ---------------------------------------------------------------- service / page variants
 
-from logscope.operators.service import Dashboard, LogService  # noqa: E402
 
 _WINDOW = f"time >= TIMESTAMP '{SERVICE_START}' AND time <= TIMESTAMP '{SERVICE_END}'"
 _WINDOW_M = f"{_WINDOW} AND method IN ({_in_list(SERVICE_METHODS)})"
