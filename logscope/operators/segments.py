@@ -171,6 +171,13 @@ def _silhouette_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _day_silhouette(pred: DataFrame) -> DataFrame:
+    pts = pred.select(F.lit(0).alias("g"), "segment", *DAY_FEATURES)
+    return (pts.groupBy("g").applyInPandas(
+        lambda pdf: _silhouette_pdf(pdf),
+        "segment int, silhouette double, overall_silhouette double").orderBy("segment"))
+
+
 def day_silhouette(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """Overall and per-segment Euclidean silhouette of the day clustering.
 
@@ -178,10 +185,7 @@ def day_silhouette(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     computed in one bounded pandas group.
     """
     _, pred = perform_day_clustering(df, k, seed)
-    pts = pred.select(F.lit(0).alias("g"), "segment", *DAY_FEATURES)
-    return (pts.groupBy("g").applyInPandas(
-        lambda pdf: _silhouette_pdf(pdf),
-        "segment int, silhouette double, overall_silhouette double").orderBy("segment"))
+    return _day_silhouette(pred)
 
 
 def day_segment_sizes(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
@@ -193,7 +197,7 @@ def day_segment_sizes(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
 def day_summary(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """Segments used, largest segment, silhouette and WSSSE."""
     model, pred = perform_day_clustering(df, k, seed)
-    sil = day_silhouette(df, k, seed).select(F.first("overall_silhouette").alias("silhouette_score"))
+    sil = _day_silhouette(pred).select(F.first("overall_silhouette").alias("silhouette_score"))
     sizes = pred.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
     summ = sizes.agg(F.count(F.lit(1)).alias("total_segments"), F.max("n").alias("largest_segment"))
     return (summ.select("total_segments", "largest_segment",
