@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.functions.numeric import round_to
-
 from logscope.functions import status as S
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.functions.numeric import round_to
-
 from logscope.operators.quality import describe_long
 
 KB = 1024.0

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logscope.functions.numeric import round_to
-
 from logscope.functions import calendar as C
 from logscope.operators.sizes import KB, MB
 
