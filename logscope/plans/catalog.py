@@ -35,6 +35,8 @@ from logscope.plans.oracle import (
     status_category_sql, status_code_sql, time_sql, weekday_abbr_sql, weekday_index_sql,
     weekday_name_sql, with_base)
 from logscope.session import shared_path
+from logscope.sources.sinks import materialize_requests, read_requests
+from logscope.streaming import append_parsed_logs, parsed_log_stream
 from logscope.sources.logs import load_log_lines, log_lines_from_events, read_log_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -975,3 +977,24 @@ def q_lines_shape(spark, sf):
 @register("preview_lines", with_base("SELECT value FROM lines ORDER BY value ASC NULLS FIRST LIMIT 10"))
 def q_preview_lines(spark, sf):
     return TB.preview(lines(spark, sf), 10)
+
+
+# ---------------------------------------------------------------- materialised and streamed tables
+
+@register("materialized_requests", with_base(f"SELECT {R_COLS} FROM r"))
+def q_materialized_requests(spark, sf):
+    """Parse once, write parquet partitioned by date, read it back."""
+    path = shared_path(spark, "requests")
+    materialize_requests(R(spark, sf), path)
+    return rows(read_requests(spark, path))
+
+
+@register("stream_requests", with_base(f"SELECT {R_COLS} FROM r"))
+def q_stream_requests(spark, sf):
+    """The file-stream parse: text files in a folder -> micro-batches ->
+    the date-partitioned table (run to completion with ``availableNow``)."""
+    src, out, ckpt = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-ckpt"))
+    lines(spark, sf).write.mode("overwrite").text(src)
+    q = append_parsed_logs(parsed_log_stream(spark, src), out, ckpt)
+    q.awaitTermination()
+    return rows(read_requests(spark, out))
