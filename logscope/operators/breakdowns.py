@@ -28,14 +28,17 @@ def top5_hosts(df: DataFrame, k: int = 5) -> DataFrame:
 def _top_host_activity(df: DataFrame, key, key_name: str, k: int) -> DataFrame:
     """Counts per (key, host) for the top ``k`` hosts.
 
-    The (key, host) aggregate is computed once; the top hosts are summed
-    from it (its shuffle is reused) and applied as a semi-join with a
-    ``k``-row broadcast list (a side of proven size).
+    The (key, host) aggregate is computed once and both branches read it
+    (one scan, its shuffle reused); the top hosts are summed from it and
+    applied as a null-safe semi-join with a ``k``-row broadcast list (a
+    side of proven size).
     """
     activity = df.groupBy(key.alias(key_name), "host").agg(F.count(F.lit(1)).alias("count"))
     top = (activity.groupBy("host").agg(F.sum("count").alias("total_requests"))
-           .orderBy(F.col("total_requests").desc(), "host").limit(k).select("host"))
-    return activity.join(F.broadcast(top), "host", "left_semi").select(key_name, "host", "count")
+           .orderBy(F.col("total_requests").desc(), "host").limit(k).select(F.col("host").alias("top_host")))
+    # null-safe membership, as a list filter keeps a NULL host that made the top list
+    hit = activity["host"].eqNullSafe(F.col("top_host"))
+    return activity.join(F.broadcast(top), hit, "left_semi").select(key_name, "host", "count")
 
 
 def top5_host_weekday(df: DataFrame, k: int = 5) -> DataFrame:

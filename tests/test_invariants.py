@@ -156,3 +156,11 @@ def test_time_filter_independent_of_session_zone(spark, lines_df):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert ny == 1 and ny_page == 2
     assert FL.filter_time_methods(df, "1995-07-01 09:30:00", "1995-07-01 10:30:00").count() == 1
+
+
+def test_top_host_activity_keeps_null_host(spark):
+    rows = [(None, 1)] * 5 + [("a.bb.com", 1)] * 2
+    df = spark.createDataFrame(rows, "host string, n int").selectExpr(
+        "host", "CAST('2024-01-01 10:00:00' AS TIMESTAMP_NTZ) AS time")
+    got = {(x["host"], x["count"]) for x in BD.top5_host_hour(df).collect()}
+    assert got == {(None, 5), ("a.bb.com", 2)}
