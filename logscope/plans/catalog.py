@@ -109,6 +109,7 @@ PAGE_STATUSES = [200, 304, 404, None]
 PAGE_METHODS = ["GET", "HEAD"]
 
 R_COLS = "host, method, endpoint, protocol, status, content_size, time"
+STREAM_TIMEOUT_S = 1800  # availableNow streams end by themselves; this only bounds a stuck run
 
 # ---------------------------------------------------------------- A: scans
 
@@ -996,5 +997,7 @@ def q_stream_requests(spark, sf):
     src, out, ckpt = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-ckpt"))
     lines(spark, sf).write.mode("overwrite").text(src)
     q = append_parsed_logs(parsed_log_stream(spark, src), out, ckpt)
-    q.awaitTermination()
+    if not q.awaitTermination(STREAM_TIMEOUT_S):
+        q.stop()
+        raise TimeoutError(f"stream did not finish within {STREAM_TIMEOUT_S} s")
     return rows(read_requests(spark, out))
