@@ -25,6 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscope.operators.features import FEATURES, host_features_derived, ml_ready
+from logscope.session import checkpointed
+
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size int, depth int")
 EULER = 0.5772156649
@@ -130,6 +133,8 @@ def isolation_forest(features: DataFrame, cols: list[str], id_col: str = "host",
 
 
 def host_anomalies(df: DataFrame, **kw) -> DataFrame:
-    from logscope.operators.features import FEATURES, host_features_derived, ml_ready
-    feats = ml_ready(host_features_derived(df))
+    """Isolation-forest scores of the per-host features. The feature table
+    is checkpointed first: the forest reads it four times (count, sample,
+    score, threshold) and must not re-aggregate the requests each time."""
+    feats = checkpointed(ml_ready(host_features_derived(df)))
     return isolation_forest(feats, FEATURES, "host", **kw)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logscope.functions.numeric import round_to
+from logscope.session import checkpointed
 
 # The seven model features, in the reference's order.
 FEATURES = ["total_requests", "unique_pages", "active_hours", "avg_content_size",
@@ -85,9 +86,10 @@ def prepare_ml_features(df: DataFrame, k: int = 3) -> DataFrame:
     """Assemble, standardise and project to ``k`` principal components (M3).
 
     Both fits are distributed summaries (column statistics, a 7x7
-    covariance); the output keeps host, scaled and PCA vectors.
+    covariance) over the checkpointed feature table, so the requests are
+    aggregated once; the output keeps host, scaled and PCA vectors.
     """
-    x = ml_ready(host_features_derived(df))
+    x = checkpointed(ml_ready(host_features_derived(df)))  # both fits read it
     model = pca_pipeline(k).fit(x)
     return model.transform(x)
 

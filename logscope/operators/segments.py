@@ -2,8 +2,9 @@
 
 Model fits are distributed (k-means iterations are treeAggregates over
 the feature table). The host feature table is checkpointed to the
-shared checkpoint folder before fitting, so the iterative passes neither
-repeat the parse nor depend on a long lineage when executors are lost.
+shared checkpoint folder before any fit, so the iterative passes neither
+repeat the aggregation of requests nor depend on a long lineage when
+executors are lost.
 Centres, sizes and metrics are k-row tables.
 """
 
@@ -22,19 +23,15 @@ from logscope.functions import patterns as P
 from logscope.functions.numeric import round_to
 from logscope.operators.daily import avg_daily_requests_per_host
 from logscope.operators.features import FEATURES, prepare_ml_features
-from logscope.session import ensure_checkpoint_dir
 
 DAY_FEATURES = ["avg_reqs", "total_reqs", "total_hosts"]
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def host_ml_features(df: DataFrame, k_pca: int = 3) -> DataFrame:
-    """Host features with ``scaled_features`` and PCA ``features``, checkpointed."""
-    return _checkpointed(prepare_ml_features(df, k_pca).select("host", "scaled_features", "features"))
+    """Host features with ``scaled_features`` and PCA ``features``: a narrow
+    transform of the checkpointed feature table (k-means persists its own
+    input across iterations)."""
+    return prepare_ml_features(df, k_pca).select("host", "scaled_features", "features")
 
 
 def train_kmeans(features: DataFrame, k: int = 4, seed: int = 42):

@@ -67,3 +67,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def checkpointed(df):
+    """Reliable checkpoint into the shared folder: the result is computed
+    once, later passes read it back, and lineage is cut so a lost executor
+    never forces the upstream aggregation to rerun."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
