@@ -60,7 +60,7 @@ def host_features_scaled(df: DataFrame, digits: int = 6) -> DataFrame:
     one-row aggregate (run when the plan is built); the transform is then
     a narrow projection with literal constants.
     """
-    x = ml_ready(host_features_derived(df))
+    x = checkpointed(ml_ready(host_features_derived(df)))  # read by both passes
     stats = x.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES],
                   *[F.stddev_samp(c).alias(f"s_{c}") for c in FEATURES]).first()
     cols = ["host"]
