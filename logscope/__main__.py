@@ -2,6 +2,7 @@
 
     python -m logscope list
     python -m logscope run top_endpoints --sf /root/testdata/sf0.01 -n 20
+    python -m logscope run statistics --sf /root/testdata/sf0.01 --out /path/stats --format json
     python -m logscope explain filter_page --sf /root/testdata/sf0.01 --materialized /path/requests
     python -m logscope materialize --sf /root/testdata/sf0.01 --out /path/requests
 """
@@ -12,7 +13,7 @@ import argparse
 
 from logscope.plans import catalog
 from logscope.session import build_session
-from logscope.sources.sinks import materialize_requests, read_requests
+from logscope.sources.sinks import materialize_requests, read_requests, write_result
 
 
 def main(argv=None) -> None:
@@ -22,7 +23,8 @@ def main(argv=None) -> None:
     ap.add_argument("--sf", default="/root/testdata/sf0.01", help="folder with the driver tables")
     ap.add_argument("--master", default=None, help="e.g. local[8]; default: from spark-submit")
     ap.add_argument("--materialized", default=None, help="serve R from this parquet table")
-    ap.add_argument("--out", default=None, help="output folder for 'materialize'")
+    ap.add_argument("--out", default=None, help="output folder for 'materialize', or for 'run' results")
+    ap.add_argument("--format", default="json", help="result format for 'run --out' (json, parquet, csv)")
     ap.add_argument("-n", type=int, default=20, help="rows to show")
     a = ap.parse_args(argv)
     if a.command == "list":
@@ -38,6 +40,8 @@ def main(argv=None) -> None:
     df = catalog.QUERIES[a.name](spark, a.sf)
     if a.command == "explain":
         df.explain(mode="formatted")
+    elif a.out:
+        write_result(df, a.out, a.format)
     else:
         df.show(a.n, truncate=False)
 

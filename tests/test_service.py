@@ -57,3 +57,12 @@ def test_dashboard_totals_follow_filter(r):
     assert [x["sort_key"] for x in d.daily_traffic().collect()] == sorted(x["sort_key"] for x in d.daily_traffic().collect())
     dom = {(x["domain"], x["value"]) for x in d.domains().collect()}
     assert ("min_date", "2024-01-03") in dom or any(k == "min_date" for k, _ in dom)
+
+
+def test_write_result_round_trip(spark, r, tmp_path):
+    from logscope import write_result
+    out = str(tmp_path / "stats")
+    svc = LogService(r)
+    write_result(svc.statistics(), out, "json")
+    back = spark.read.json(out).collect()[0]
+    assert back["total_requests"] == r.count()
