@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from logscope.operators import distributions as DS
@@ -21,10 +22,20 @@ from logscope.operators import traffic as TR
 
 
 class LogService:
-    """Service queries over a request table ``R`` (parsed or materialised)."""
+    """Service queries over a request table ``R`` (parsed or materialised).
 
-    def __init__(self, requests: DataFrame):
-        self.df = requests
+    ``persist=True`` keeps the table in executor memory (spilling to disk)
+    for a long-lived service that answers many requests; lost blocks are
+    recomputed from lineage. Call ``close()`` to release it.
+    """
+
+    def __init__(self, requests: DataFrame, persist: bool = False):
+        self.df = requests.persist(StorageLevel.MEMORY_AND_DISK) if persist else requests
+        self._persisted = persist
+
+    def close(self) -> None:
+        if self._persisted:
+            self.df.unpersist()
 
     def _filter(self, start=None, end=None, methods: Sequence[str] | None = None) -> DataFrame:
         return FL.filter_time_methods(self.df, start, end, methods)

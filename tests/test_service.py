@@ -66,3 +66,11 @@ def test_write_result_round_trip(spark, r, tmp_path):
     write_result(svc.statistics(), out, "json")
     back = spark.read.json(out).collect()[0]
     assert back["total_requests"] == r.count()
+
+
+def test_persisted_service_matches(r):
+    svc = LogService(r, persist=True)
+    try:
+        assert svc.statistics().collect() == LogService(r).statistics().collect()
+    finally:
+        svc.close()
