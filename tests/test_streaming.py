@@ -15,3 +15,18 @@ def test_stream_appends_parsed_rows(spark, tmp_path):
     got = read_requests(spark, out)
     assert got.count() == lines.count()
     assert "date" in got.columns and got.where("time IS NOT NULL").count() == got.count()
+
+
+def test_stream_restart_is_exactly_once(spark, tmp_path):
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    lines = load_log_lines(spark, SF_SMALL).repartition(3)
+    lines.write.text(src)
+    n = lines.count()
+    for _ in range(2):  # the second run resumes from the checkpoint: nothing new
+        q = append_parsed_logs(parsed_log_stream(spark, src, max_files_per_trigger=1), out, ckpt)
+        q.awaitTermination(120)
+    assert read_requests(spark, out).count() == n
+    lines.limit(7).write.mode("append").text(src)  # a new file arrives
+    q = append_parsed_logs(parsed_log_stream(spark, src, max_files_per_trigger=1), out, ckpt)
+    q.awaitTermination(120)
+    assert read_requests(spark, out).count() == n + 7
