@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -14,13 +13,19 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def table_schema(df: DataFrame) -> DataFrame:
-    """The schema as rows ``(position, column, type)``; reads no data."""
-    spark = df.sparkSession
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    schema = T.StructType([T.StructField("position", T.IntegerType(), False),
-                           T.StructField("column", T.StringType(), False),
-                           T.StructField("type", T.StringType(), False)])
-    return spark.createDataFrame(rows, schema)
+    """The schema as rows ``(position, column, type, null_count)``.
+
+    The type comes from the schema; ``null_count`` is observed in one
+    aggregate pass (declared nullability is left out: it depends on the
+    source, e.g. parquet reads declare every column nullable).
+    """
+    fields = df.schema.fields
+    counts = df.agg(*[F.count_if(F.col(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(fields)])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                     F.lit(f.dataType.simpleString()).alias("type"),
+                     F.col(f"n{i}").alias("null_count"))
+            for i, f in enumerate(fields)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:

@@ -140,7 +140,19 @@ def q_table_shape(spark, sf):
     return TB.table_shape(rows(R(spark, sf)))
 
 
-@register("table_schema")
+# The request table's column types as Spark names them, for the oracle.
+R_SCHEMA = [("host", "string"), ("method", "string"), ("endpoint", "string"), ("protocol", "string"),
+            ("status", "int"), ("content_size", "int"), ("time", "timestamp_ntz")]
+
+
+def _schema_sql() -> str:
+    arms = [f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS type, "
+            f"{_cast_big(f'count_if({c} IS NULL)')} AS null_count FROM r"
+            for i, (c, t) in enumerate(R_SCHEMA)]
+    return with_base(" UNION ALL ".join(arms))
+
+
+@register("table_schema", _schema_sql())
 def q_table_schema(spark, sf):
     return TB.table_schema(rows(R(spark, sf)))
 
