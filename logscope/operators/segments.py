@@ -231,12 +231,26 @@ def segment_profiles(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return profile_segments(pred.select("day", *DAY_FEATURES, "segment"))
 
 
+def quartile_day_labels(df: DataFrame, k: int = 4) -> DataFrame:
+    """The day table labelled by ``ntile(k)`` of ``total_reqs`` (ties by
+    day): a deterministic labelling, so rule-based steps are checkable."""
+    days = day_table(df)
+    w = Window.orderBy("total_reqs", "day")  # <= 31 rows
+    return days.withColumn("segment", F.ntile(k).over(w) - 1)
+
+
+def day_center_separation(df: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
+    """Distances between the centres of the quartile day labels (M8/J3 on
+    a deterministic labelling)."""
+    centers = quartile_day_labels(df, k).groupBy("segment").agg(*[F.avg(c).alias(c) for c in DAY_FEATURES])
+    sep = cluster_separation(centers, DAY_FEATURES, k)
+    return sep.select("segment_i", "segment_j", round_to(F.col("distance"), digits).alias("distance"))
+
+
 def segment_profile_rule(df: DataFrame, k: int = 4) -> DataFrame:
     """The profile rule over a deterministic labelling: quartiles of
     ``total_reqs`` (ties by day), so the rule itself is checkable in SQL."""
-    days = day_table(df)
-    w = Window.orderBy("total_reqs", "day")  # <= 31 rows
-    return profile_segments(days.withColumn("segment", F.ntile(k).over(w) - 1))
+    return profile_segments(quartile_day_labels(df, k))
 
 
 def train_and_analyze(df: DataFrame, k: int = 4, seed: int = 42) -> dict:

@@ -1013,3 +1013,18 @@ def q_stream_requests(spark, sf):
         q.stop()
         raise TimeoutError(f"stream did not finish within {STREAM_TIMEOUT_S} s")
     return rows(read_requests(spark, out))
+
+
+def _day_separation_sql(k: int = 4) -> str:
+    ctes = [_DAY_TABLE_CTE,
+            f"lab AS (SELECT *, ntile({k}) OVER (ORDER BY total_reqs, day) - 1 AS segment FROM d)",
+            "c AS (SELECT segment, avg(avg_reqs) AS a, avg(CAST(total_reqs AS DOUBLE)) AS t, "
+            "avg(CAST(total_hosts AS DOUBLE)) AS h FROM lab GROUP BY segment)"]
+    dist = "sqrt((x.a - y.a) * (x.a - y.a) + (x.t - y.t) * (x.t - y.t) + (x.h - y.h) * (x.h - y.h))"
+    return with_base(f"SELECT CAST(x.segment AS INTEGER) AS segment_i, CAST(y.segment AS INTEGER) AS segment_j, "
+                     f"round({dist}, 6) AS distance FROM c x, c y", *ctes)
+
+
+@register("day_center_separation", _day_separation_sql())
+def q_day_center_separation(spark, sf):
+    return SG.day_center_separation(R(spark, sf))
