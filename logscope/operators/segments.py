@@ -75,9 +75,13 @@ def segment_centers(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
 
 def feature_importance(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """Mean absolute centre value per feature, largest first (M7)."""
-    centers = segment_centers(df, k, seed)
+    return importance_of(segment_centers(df, k, seed), FEATURES)
+
+
+def importance_of(centers: DataFrame, cols: list[str]) -> DataFrame:
+    """Mean absolute value of each centre column over the k centres."""
     long = centers.select("segment", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in FEATURES])))
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in cols])))
     return (long.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
             .orderBy(F.col("importance").desc(), "feature"))
 
@@ -247,6 +251,13 @@ def day_center_separation(df: DataFrame, k: int = 4, digits: int = 6) -> DataFra
     return sep.select("segment_i", "segment_j", round_to(F.col("distance"), digits).alias("distance"))
 
 
+def day_feature_importance(df: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
+    """Feature importance (M7) of the quartile day labels' centres."""
+    centers = quartile_day_labels(df, k).groupBy("segment").agg(*[F.avg(c).alias(c) for c in DAY_FEATURES])
+    imp = importance_of(centers, DAY_FEATURES)
+    return imp.select("feature", round_to(F.col("importance"), digits).alias("importance"))
+
+
 def segment_profile_rule(df: DataFrame, k: int = 4) -> DataFrame:
     """The profile rule over a deterministic labelling: quartiles of
     ``total_reqs`` (ties by day), so the rule itself is checkable in SQL."""

@@ -1028,3 +1028,18 @@ def _day_separation_sql(k: int = 4) -> str:
 @register("day_center_separation", _day_separation_sql())
 def q_day_center_separation(spark, sf):
     return SG.day_center_separation(R(spark, sf))
+
+
+def _day_importance_sql(k: int = 4) -> str:
+    ctes = [_DAY_TABLE_CTE,
+            f"lab AS (SELECT *, ntile({k}) OVER (ORDER BY total_reqs, day) - 1 AS segment FROM d)",
+            "c AS (SELECT segment, avg(avg_reqs) AS a, avg(CAST(total_reqs AS DOUBLE)) AS t, "
+            "avg(CAST(total_hosts AS DOUBLE)) AS h FROM lab GROUP BY segment)"]
+    arms = " UNION ALL ".join(f"SELECT '{name}' AS feature, round(avg(abs({col})), 6) AS importance FROM c"
+                              for name, col in [("avg_reqs", "a"), ("total_reqs", "t"), ("total_hosts", "h")])
+    return with_base(arms, *ctes)
+
+
+@register("day_feature_importance", _day_importance_sql())
+def q_day_feature_importance(spark, sf):
+    return SG.day_feature_importance(R(spark, sf))
