@@ -258,6 +258,13 @@ def day_feature_importance(df: DataFrame, k: int = 4, digits: int = 6) -> DataFr
     return imp.select("feature", round_to(F.col("importance"), digits).alias("importance"))
 
 
+def day_label_silhouette(df: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
+    """Euclidean silhouette (M14) of the quartile day labels."""
+    sil = _day_silhouette(quartile_day_labels(df, k))
+    return sil.select("segment", round_to(F.col("silhouette"), digits).alias("silhouette"),
+                      round_to(F.col("overall_silhouette"), digits).alias("overall_silhouette"))
+
+
 def segment_profile_rule(df: DataFrame, k: int = 4) -> DataFrame:
     """The profile rule over a deterministic labelling: quartiles of
     ``total_reqs`` (ties by day), so the rule itself is checkable in SQL."""

@@ -1043,3 +1043,25 @@ def _day_importance_sql(k: int = 4) -> str:
 @register("day_feature_importance", _day_importance_sql())
 def q_day_feature_importance(spark, sf):
     return SG.day_feature_importance(R(spark, sf))
+
+
+def _day_silhouette_sql(k: int = 4) -> str:
+    sq = lambda c: f"(CAST(x.{c} AS DOUBLE) - CAST(y.{c} AS DOUBLE)) * (CAST(x.{c} AS DOUBLE) - CAST(y.{c} AS DOUBLE))"
+    ctes = [_DAY_TABLE_CTE,
+            f"lab AS (SELECT *, ntile({k}) OVER (ORDER BY total_reqs, day) - 1 AS segment FROM d)",
+            f"pd AS (SELECT x.day AS i, x.segment AS si, y.segment AS sj, "
+            f"sqrt({sq('avg_reqs')} + {sq('total_reqs')} + {sq('total_hosts')}) AS dist "
+            "FROM lab x JOIN lab y ON x.day <> y.day)",
+            "per AS (SELECT i, si, sj, avg(dist) AS md FROM pd GROUP BY i, si, sj)",
+            "ab AS (SELECT i, max(CASE WHEN sj = si THEN md END) AS a, min(CASE WHEN sj <> si THEN md END) AS b "
+            "FROM per GROUP BY i)",
+            "s AS (SELECT lab.segment, CASE WHEN ab.a IS NULL OR ab.b IS NULL THEN 0.0 "
+            "WHEN greatest(ab.a, ab.b) > 0 THEN (ab.b - ab.a) / greatest(ab.a, ab.b) ELSE 0.0 END AS s "
+            "FROM lab LEFT JOIN ab ON lab.day = ab.i)"]
+    return with_base("SELECT CAST(segment AS INTEGER) AS segment, round(avg(s), 6) AS silhouette, "
+                     "round((SELECT avg(s) FROM s), 6) AS overall_silhouette FROM s GROUP BY segment", *ctes)
+
+
+@register("day_label_silhouette", _day_silhouette_sql())
+def q_day_label_silhouette(spark, sf):
+    return SG.day_label_silhouette(R(spark, sf))
