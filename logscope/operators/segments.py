@@ -265,6 +265,29 @@ def day_label_silhouette(df: DataFrame, k: int = 4, digits: int = 6) -> DataFram
                       round_to(F.col("overall_silhouette"), digits).alias("overall_silhouette"))
 
 
+def wssse(labelled: DataFrame, cols: list[str]) -> DataFrame:
+    """Within-cluster sum of squared distances to each segment's mean, as a
+    one-row table; the k centres join back on ``segment`` (a k-row side)."""
+    centers = labelled.groupBy("segment").agg(*[F.avg(c).alias(f"c_{c}") for c in cols])
+    sq = None
+    for c in cols:
+        d = F.col(c).cast("double") - F.col(f"c_{c}")
+        sq = d * d if sq is None else sq + d * d
+    return labelled.join(F.broadcast(centers), "segment").agg(F.sum(sq).alias("wssse"))
+
+
+def day_label_summary(df: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
+    """Summary (M16) of the quartile day labels: segments, largest segment,
+    overall silhouette and WSSSE."""
+    lab = quartile_day_labels(df, k)
+    sizes = lab.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    summ = sizes.agg(F.count(F.lit(1)).alias("total_segments"), F.max("n").alias("largest_segment"))
+    sil = _day_silhouette(lab).select(F.first("overall_silhouette")).scalar()
+    cost = wssse(lab, DAY_FEATURES).select("wssse").scalar()
+    return summ.select("total_segments", "largest_segment", round_to(sil, digits).alias("silhouette_score"),
+                       round_to(cost, digits).alias("wssse"))
+
+
 def segment_profile_rule(df: DataFrame, k: int = 4) -> DataFrame:
     """The profile rule over a deterministic labelling: quartiles of
     ``total_reqs`` (ties by day), so the rule itself is checkable in SQL."""

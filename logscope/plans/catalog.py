@@ -1065,3 +1065,22 @@ def _day_silhouette_sql(k: int = 4) -> str:
 @register("day_label_silhouette", _day_silhouette_sql())
 def q_day_label_silhouette(spark, sf):
     return SG.day_label_silhouette(R(spark, sf))
+
+
+def _day_summary_sql(k: int = 4) -> str:
+    sil = _day_silhouette_sql(k)
+    ctes_sql = sil[len("WITH "):sil.rindex("\nSELECT CAST(segment")]
+    sq = lambda c: f"(CAST(l.{c} AS DOUBLE) - m.{c}) * (CAST(l.{c} AS DOUBLE) - m.{c})"
+    extra = ("m AS (SELECT segment, avg(CAST(avg_reqs AS DOUBLE)) AS avg_reqs, avg(CAST(total_reqs AS DOUBLE)) "
+             "AS total_reqs, avg(CAST(total_hosts AS DOUBLE)) AS total_hosts FROM lab GROUP BY segment)")
+    body = ("SELECT (SELECT count(DISTINCT segment) FROM lab) AS total_segments, "
+            "(SELECT max(n) FROM (SELECT count(*) AS n FROM lab GROUP BY segment)) AS largest_segment, "
+            "round((SELECT avg(s) FROM s), 6) AS silhouette_score, "
+            f"round((SELECT sum({sq('avg_reqs')} + {sq('total_reqs')} + {sq('total_hosts')}) "
+            "FROM lab l JOIN m ON l.segment = m.segment), 6) AS wssse")
+    return f"WITH {ctes_sql},\n{extra}\n{body}"
+
+
+@register("day_label_summary", _day_summary_sql())
+def q_day_label_summary(spark, sf):
+    return SG.day_label_summary(R(spark, sf))
