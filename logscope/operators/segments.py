@@ -16,7 +16,7 @@ from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.functions import patterns as P
@@ -73,6 +73,21 @@ def segment_centers(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return _segment_centers(pred).orderBy("segment")
 
 
+def host_volume_label(total_requests: str = "total_requests") -> Column:
+    """A deterministic host labelling by request volume: 0 below 10
+    requests, 1 below 100, 2 below 1000, else 3 (no global window)."""
+    n = F.col(total_requests)
+    return F.when(n < 10, 0).when(n < 100, 1).when(n < 1000, 2).otherwise(3)
+
+
+def host_label_centers(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Centres in the seven standardised features (M6) of the volume
+    labels: the Spark ML scaler output averaged per label."""
+    pred = prepare_ml_features(df).withColumn("segment", host_volume_label())
+    centers = _segment_centers(pred)
+    return centers.select("segment", *[round_to(F.col(c), digits).alias(c) for c in FEATURES])
+
+
 def feature_importance(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """Mean absolute centre value per feature, largest first (M7)."""
     return importance_of(segment_centers(df, k, seed), FEATURES)

@@ -1084,3 +1084,22 @@ def _day_summary_sql(k: int = 4) -> str:
 @register("day_label_summary", _day_summary_sql())
 def q_day_label_summary(spark, sf):
     return SG.day_label_summary(R(spark, sf))
+
+
+def _host_label_centers_sql() -> str:
+    ready = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE) AS {c}" for c in FT.FEATURES)
+    zs = ", ".join(
+        f"CASE WHEN stddev_samp({c}) OVER () = 0 THEN 0.0::DOUBLE ELSE ({c} - avg({c}) OVER ()) / "
+        f"stddev_samp({c}) OVER () END AS {c}" for c in FT.FEATURES)
+    label = ("CASE WHEN total_requests < 10 THEN 0 WHEN total_requests < 100 THEN 1 "
+             "WHEN total_requests < 1000 THEN 2 ELSE 3 END")
+    ctes = [_HOST_FEATURES_CTE,
+            f"x AS (SELECT host, {ready}, {label} AS segment FROM (SELECT *, {_DERIVED} FROM hf))",
+            f"z AS (SELECT segment, {zs} FROM x)"]
+    cols = ", ".join(f"round(avg({c}), 6) AS {c}" for c in FT.FEATURES)
+    return with_base(f"SELECT CAST(segment AS INTEGER) AS segment, {cols} FROM z GROUP BY segment", *ctes)
+
+
+@register("host_label_centers", _host_label_centers_sql())
+def q_host_label_centers(spark, sf):
+    return SG.host_label_centers(R(spark, sf))
