@@ -76,3 +76,20 @@ def clf_instant_epoch(ts_text: str | Column = "timestamp") -> Column:
     """Seconds since the epoch of the zone-aware instant (offset applied)."""
     inst = F.try_to_timestamp(_c(ts_text), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
     return F.unix_timestamp(inst)
+
+
+def clf_time_text(ts: str | Column = "ts") -> Column:
+    """Format a wall-clock ``timestamp_ntz`` as ``dd/Mon/yyyy:HH:mm:ss``.
+
+    Built from the field functions, which read ``timestamp_ntz`` without
+    any zone; ``date_format`` would pass through the session zone and move
+    a daylight-saving gap time (02:30 on a spring-forward day) by an hour.
+    """
+    t = _c(ts)
+    months = F.array(*[F.lit(m) for m in P.MONTHS])
+
+    def two(x):
+        return F.lpad(x.cast("string"), 2, "0")
+    return F.concat(two(F.dayofmonth(t)), F.lit("/"), F.element_at(months, F.month(t)), F.lit("/"),
+                    F.lpad(F.year(t).cast("string"), 4, "0"), F.lit(":"), two(F.hour(t)), F.lit(":"),
+                    two(F.minute(t)), F.lit(":"), two(F.second(t)))

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logscope.functions.parse import clf_time_text
+
 
 def read_log_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Text scan of one or many files or folders (A1, A2)."""
@@ -54,7 +56,7 @@ def log_lines_from_events(events: DataFrame, keep_id: bool = False) -> DataFrame
             .otherwise(F.lit("200")))
     size = F.when(eid % 13 == 0, F.lit("-")).otherwise(
         F.floor(F.col("value") * 100).cast("bigint").cast("string"))
-    line = F.concat(host, F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
+    line = F.concat(host, F.lit(" - - ["), clf_time_text("ts"),
                     F.lit(' -0400] "'), request, F.lit('" '), code, F.lit(" "), size)
     cols = ([eid] if keep_id else []) + [line.alias("value")]
     return events.select(*cols)

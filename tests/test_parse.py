@@ -101,3 +101,25 @@ def test_multi_file_scan(spark, tmp_path, n):
     paths = [str(p1), str(p2)][:n]
     got = sorted(r["value"] for r in read_log_text(spark, paths).collect())
     assert got == ["l1", "l2", "l3"][: 2 if n == 1 else 3]
+
+
+def test_clf_time_text_ignores_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from logscope.functions.parse import clf_time_text
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00' AS ts UNION ALL "
+                   "SELECT TIMESTAMP_NTZ '0995-07-01 00:00:05' AS ts")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r[0] for r in df.select(clf_time_text("ts")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == ["10/Mar/2024:02:30:00", "01/Jul/0995:00:00:05"]
+    back = df.select(clf_time_text("ts").alias("timestamp")).select(X_time("timestamp")).collect()
+    assert [r[0] for r in back] == [r[0] for r in df.collect()]
+
+
+def X_time(c):
+    from logscope.functions.parse import clf_time
+    return clf_time(c)
