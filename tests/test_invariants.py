@@ -164,3 +164,20 @@ def test_top_host_activity_keeps_null_host(spark):
         "host", "CAST('2024-01-01 10:00:00' AS TIMESTAMP_NTZ) AS time")
     got = {(x["host"], x["count"]) for x in BD.top5_host_hour(df).collect()}
     assert got == {(None, 5), ("a.bb.com", 2)}
+
+
+@pytest.mark.parametrize("op", [
+    DS.status_distribution, DS.method_share, lambda d: DS.top_hosts_share(d, 20), DS.top_endpoints,
+    BD.hourly_status_counts, BD.hourly_method_pivot, BD.status_method_totals, BD.top5_host_weekday,
+    lambda d: BD.unique_endpoints_by_status(d, 200, 300), DY.avg_daily_requests_per_host, DY.unique_hosts,
+    SZ.size_histogram, SZ.size_stats_kb, SZ.size_histogram_nice, SZ.content_size_summary,
+    TR.statistics, TR.weekday_traffic, FT.host_features_derived, FL.filter_domains,
+])
+def test_empty_input_does_not_fail(r, op):
+    empty = r.limit(0)
+    op(empty).collect()
+
+
+def test_empty_forecast(r):
+    from logscope.operators import forecast as FC
+    assert FC.traffic_forecast(r.limit(0)).collect() == []
