@@ -35,7 +35,7 @@ from logscope.plans.oracle import (
     status_category_sql, status_code_sql, time_sql, weekday_abbr_sql, weekday_index_sql,
     weekday_name_sql, with_base)
 from logscope.session import shared_path
-from logscope.sources.sinks import materialize_requests, read_requests
+from logscope.sources.sinks import materialize_requests, read_requests, requests_from_parsed
 from logscope.streaming import append_parsed_logs, parsed_log_stream
 from logscope.sources.logs import load_log_lines, log_lines_from_events, read_log_text
 
@@ -52,11 +52,33 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_REQUESTS_OVERRIDE: dict[tuple[int, str], DataFrame] = {}
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     return load_log_lines(spark, sf)
 
 
+_PARSED_OVERRIDE: dict[tuple[int, str], DataFrame] = {}
+
+
+def use_materialized_parsed(spark: SparkSession, sf: str, table: DataFrame | None) -> None:
+    """Serve both the parsed table and ``R`` for (spark, sf) from one
+    materialised parsed table (``materialize_parsed``); ``None`` restores
+    the parse path."""
+    key = (id(spark), sf)
+    if table is None:
+        _PARSED_OVERRIDE.pop(key, None)
+        _REQUESTS_OVERRIDE.pop(key, None)
+    else:
+        _PARSED_OVERRIDE[key] = table
+        _REQUESTS_OVERRIDE[key] = requests_from_parsed(table)
+
+
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
+    m = _PARSED_OVERRIDE.get((id(spark), sf))
+    if m is not None:
+        return m.select("host", "timestamp", "method", "endpoint", "protocol", "status", "content_size")
     return parse_log(lines(spark, sf))
 
 
@@ -64,9 +86,6 @@ def filled(spark: SparkSession, sf: str) -> DataFrame:
     return fill_content_size(parsed(spark, sf))
 
 
-_REQUESTS_OVERRIDE: dict[tuple[int, str], DataFrame] = {}
-
-
 def use_materialized(spark: SparkSession, sf: str, requests: DataFrame | None) -> None:
     """Serve ``R`` for (spark, sf) from a materialised request table (A6),
     e.g. ``read_requests(spark, path)``; ``None`` restores the parse path."""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logscope.functions.parse import clf_time
+
 
 def materialize_requests(requests: DataFrame, path: str, mode: str = "overwrite",
                          compression: str = "zstd") -> None:
@@ -35,6 +37,26 @@ def materialize_requests(requests: DataFrame, path: str, mode: str = "overwrite"
      .parquet(path))
 
 
+def materialize_parsed(parsed: DataFrame, path: str, mode: str = "overwrite",
+                       compression: str = "zstd") -> None:
+    """Write the parsed table (the seven parse columns, ``content_size``
+    before the fill, plus ``time``) partitioned by ``date``, laid out like
+    ``materialize_requests``. One parse-once table then serves the
+    data-quality profile (which needs the raw ``timestamp`` text and the
+    unfilled size) and, through ``requests_from_parsed``, every request
+    query."""
+    with_t = parsed.withColumn("time", clf_time("timestamp"))
+    materialize_requests(with_t, path, mode, compression)
+
+
+def requests_from_parsed(parsed: DataFrame) -> DataFrame:
+    """The request table ``R`` (plus ``date``) from a materialised parsed
+    table: sizes filled on read, the time text dropped."""
+    cols = [c for c in ["host", "method", "endpoint", "protocol", "status"]]
+    extra = ["date"] if "date" in parsed.columns else []
+    return parsed.select(*cols, F.coalesce(F.col("content_size"), F.lit(0)).alias("content_size"), "time", *extra)
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
