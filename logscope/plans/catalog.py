@@ -35,7 +35,7 @@ from logscope.plans.oracle import (
     status_category_sql, status_code_sql, time_sql, weekday_abbr_sql, weekday_index_sql,
     weekday_name_sql, with_base)
 from logscope.session import shared_path
-from logscope.sources.sinks import materialize_requests, read_requests, requests_from_parsed
+from logscope.sources.sinks import materialize_parsed, materialize_requests, read_requests, requests_from_parsed
 from logscope.streaming import append_parsed_logs, parsed_log_stream
 from logscope.sources.logs import load_log_lines, log_lines_from_events, read_log_text
 
@@ -1122,3 +1122,15 @@ def _host_label_centers_sql() -> str:
 @register("host_label_centers", _host_label_centers_sql())
 def q_host_label_centers(spark, sf):
     return SG.host_label_centers(R(spark, sf))
+
+
+@register("materialized_parsed", with_base(
+    f"SELECT host, timestamp, method, endpoint, protocol, status, content_size, {time_sql('timestamp')} AS time "
+    "FROM parsed"))
+def q_materialized_parsed(spark, sf):
+    """A6, parsed form: parse once, write the parsed columns plus time by
+    date, read them back."""
+    path = shared_path(spark, "parsed")
+    materialize_parsed(parsed(spark, sf), path)
+    return read_requests(spark, path).select("host", "timestamp", "method", "endpoint", "protocol", "status",
+                                             "content_size", "time")
