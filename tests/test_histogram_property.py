@@ -1,0 +1,29 @@
+"""Property test: the Spark histogram equals numpy.histogram bin for bin."""
+
+import numpy as np
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from logscope.operators import sizes as SZ
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.integers(min_value=-10**6, max_value=10**6), min_size=0, max_size=60),
+       bins=st.integers(min_value=1, max_value=20),
+       scale=st.sampled_from([1.0, 3.0, 1024.0]))
+def test_histogram_equals_numpy(spark, values, bins, scale):
+    df = spark.createDataFrame([(v,) for v in values], "content_size int")
+    got = SZ.size_histogram(df, bins=bins, scale=scale).collect()
+    counts, edges = np.histogram(np.array(values, dtype=float) / scale, bins=bins)
+    assert [r["count"] for r in got] == counts.tolist()
+    assert [r["bin_start"] for r in got] + [got[-1]["bin_end"]] == edges.tolist()
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.integers(min_value=-2**31, max_value=2**31 - 1), min_size=1, max_size=60),
+       repeat=st.integers(min_value=0, max_value=40))
+def test_exact_median_equals_numpy(spark, values, repeat):
+    vals = values + [values[0]] * repeat  # a hot value
+    df = spark.createDataFrame([(v,) for v in vals], "content_size int")
+    got = SZ.exact_median(df, "content_size").collect()[0]["median"]
+    assert got == float(np.median(np.array(vals, dtype=np.int64)))
