@@ -1064,9 +1064,10 @@ def q_day_feature_importance(spark, sf):
     return SG.day_feature_importance(R(spark, sf))
 
 
-def _day_silhouette_sql(k: int = 4) -> str:
+def _day_silhouette_ctes(k: int = 4) -> list[str]:
+    """CTEs ending in ``s(segment, s)``: each labelled day's silhouette."""
     sq = lambda c: f"(CAST(x.{c} AS DOUBLE) - CAST(y.{c} AS DOUBLE)) * (CAST(x.{c} AS DOUBLE) - CAST(y.{c} AS DOUBLE))"
-    ctes = [_DAY_TABLE_CTE,
+    return [_DAY_TABLE_CTE,
             f"lab AS (SELECT *, ntile({k}) OVER (ORDER BY total_reqs, day) - 1 AS segment FROM d)",
             f"pd AS (SELECT x.day AS i, x.segment AS si, y.segment AS sj, "
             f"sqrt({sq('avg_reqs')} + {sq('total_reqs')} + {sq('total_hosts')}) AS dist "
@@ -1077,8 +1078,12 @@ def _day_silhouette_sql(k: int = 4) -> str:
             "s AS (SELECT lab.segment, CASE WHEN ab.a IS NULL OR ab.b IS NULL THEN 0.0 "
             "WHEN greatest(ab.a, ab.b) > 0 THEN (ab.b - ab.a) / greatest(ab.a, ab.b) ELSE 0.0 END AS s "
             "FROM lab LEFT JOIN ab ON lab.day = ab.i)"]
+
+
+def _day_silhouette_sql(k: int = 4) -> str:
     return with_base("SELECT CAST(segment AS INTEGER) AS segment, round(avg(s), 6) AS silhouette, "
-                     "round((SELECT avg(s) FROM s), 6) AS overall_silhouette FROM s GROUP BY segment", *ctes)
+                     "round((SELECT avg(s) FROM s), 6) AS overall_silhouette FROM s GROUP BY segment",
+                     *_day_silhouette_ctes(k))
 
 
 @register("day_label_silhouette", _day_silhouette_sql())
@@ -1087,17 +1092,15 @@ def q_day_label_silhouette(spark, sf):
 
 
 def _day_summary_sql(k: int = 4) -> str:
-    sil = _day_silhouette_sql(k)
-    ctes_sql = sil[len("WITH "):sil.rindex("\nSELECT CAST(segment")]
     sq = lambda c: f"(CAST(l.{c} AS DOUBLE) - m.{c}) * (CAST(l.{c} AS DOUBLE) - m.{c})"
-    extra = ("m AS (SELECT segment, avg(CAST(avg_reqs AS DOUBLE)) AS avg_reqs, avg(CAST(total_reqs AS DOUBLE)) "
-             "AS total_reqs, avg(CAST(total_hosts AS DOUBLE)) AS total_hosts FROM lab GROUP BY segment)")
+    centres = ("m AS (SELECT segment, avg(CAST(avg_reqs AS DOUBLE)) AS avg_reqs, avg(CAST(total_reqs AS DOUBLE)) "
+               "AS total_reqs, avg(CAST(total_hosts AS DOUBLE)) AS total_hosts FROM lab GROUP BY segment)")
     body = ("SELECT (SELECT count(DISTINCT segment) FROM lab) AS total_segments, "
             "(SELECT max(n) FROM (SELECT count(*) AS n FROM lab GROUP BY segment)) AS largest_segment, "
             "round((SELECT avg(s) FROM s), 6) AS silhouette_score, "
             f"round((SELECT sum({sq('avg_reqs')} + {sq('total_reqs')} + {sq('total_hosts')}) "
             "FROM lab l JOIN m ON l.segment = m.segment), 6) AS wssse")
-    return f"WITH {ctes_sql},\n{extra}\n{body}"
+    return with_base(body, *_day_silhouette_ctes(k), centres)
 
 
 @register("day_label_summary", _day_summary_sql())
