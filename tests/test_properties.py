@@ -59,3 +59,34 @@ def test_forecast_equals_numpy(spark, ys, gaps, periods):
         assert r["ds"] == d0 + dt.timedelta(days=xi)
         assert abs(r["yhat"] - yhat) < 1e-4 * max(1.0, abs(yhat))
         assert abs((r["yhat_upper"] - r["yhat"]) - FC.Z80 * sigma) < 1e-4 * max(1.0, sigma)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(keys=st.lists(st.sampled_from(["/a", "/b", "/c", "/d", "/e", "", "/x y"]), min_size=0, max_size=50),
+       k=st.integers(min_value=1, max_value=6))
+def test_top_k_equals_python(spark, keys, k):
+    from collections import Counter
+
+    from logscope.operators import distributions as DS
+    df = spark.createDataFrame([(e,) for e in keys], "endpoint string")
+    got = [(r["endpoint"], r["count"]) for r in DS.top_endpoints(df, k).collect()]
+    want = sorted(Counter(keys).items(), key=lambda kv: (-kv[1], kv[0]))[:k]
+    assert got == want
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(codes=st.lists(st.one_of(st.none(), st.integers(min_value=0, max_value=999)), min_size=0, max_size=50))
+def test_status_categories_equal_python(spark, codes):
+    from collections import Counter
+
+    from logscope.functions import patterns as P
+    from logscope.operators import distributions as DS
+
+    def category(s):
+        for label, lo, hi in P.STATUS_CATEGORIES:
+            if s is not None and lo <= s < hi:
+                return label
+        return P.STATUS_OTHER
+    df = spark.createDataFrame([(c,) for c in codes], "status int")
+    got = {r["status_category"]: r["count"] for r in DS.status_distribution(df).collect()}
+    assert got == dict(Counter(category(c) for c in codes))
