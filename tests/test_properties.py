@@ -90,3 +90,70 @@ def test_status_categories_equal_python(spark, codes):
     df = spark.createDataFrame([(c,) for c in codes], "status int")
     got = {r["status_category"]: r["count"] for r in DS.status_distribution(df).collect()}
     assert got == dict(Counter(category(c) for c in codes))
+
+
+_HOSTS = ["a.bb.com", "c.dd.org", "", "e.ff.net"]
+_EPS = ["/a", "/b", "/c", ""]
+_METHODS = ["GET", "POST", "HEAD", ""]
+
+
+@st.composite
+def request_rows(draw):
+    import datetime as dt
+    n = draw(st.integers(min_value=0, max_value=40))
+    rows = []
+    for _ in range(n):
+        t = draw(st.one_of(st.none(), st.integers(min_value=0, max_value=14 * 24 * 3600 - 1)))
+        rows.append((draw(st.sampled_from(_HOSTS)), draw(st.sampled_from(_METHODS)), draw(st.sampled_from(_EPS)),
+                     "HTTP/1.0", draw(st.one_of(st.none(), st.sampled_from([200, 204, 302, 304, 404, 500]))),
+                     draw(st.integers(min_value=0, max_value=10**6)),
+                     None if t is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t)))
+    return rows
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=request_rows())
+def test_breakdowns_equal_python(spark, rows):
+    import datetime as dt
+    from collections import Counter, defaultdict
+
+    from logscope.functions import patterns as P
+    from logscope.operators import breakdowns as BD
+    from logscope.operators import filters as FL
+    from logscope.operators import traffic as TR
+    schema = ("host string, method string, endpoint string, protocol string, status int, content_size int, "
+              "time timestamp_ntz")
+    df = spark.createDataFrame(rows, schema)
+
+    # page filter with NULL status selected
+    lo, hi = dt.date(2024, 1, 3), dt.date(2024, 1, 9)
+    want = sum(1 for r in rows if r[6] is not None and lo <= r[6].date() <= hi
+               and (r[4] in (200, 304) or r[4] is None) and r[1] in ("GET", "HEAD"))
+    assert FL.filter_page(df, lo, hi, [200, 304, None], ["GET", "HEAD"]).count() == want
+
+    # hourly class counts (hours with none of the three classes left out)
+    cnt = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        h = None if r[6] is None else r[6].hour
+        for i, (_, a, b) in enumerate(P.STATUS_CODES):
+            if r[4] is not None and a <= r[4] < b:
+                cnt[h][i] += 1
+    want_h = {h: tuple(v) for h, v in cnt.items() if any(v)}
+    got_h = {r["hour"]: (r["count_2xx"], r["count_3xx"], r["count_4xx"])
+             for r in BD.hourly_status_counts(df).collect()}
+    assert got_h == want_h
+
+    # distinct GET endpoints with 2xx per weekday x hour range (hour 0 dropped)
+    ranges = {h: lab for lab, a, b in P.HOUR_RANGES for h in range(a, b + 1)}
+    sets = defaultdict(set)
+    for r in rows:
+        if r[6] is None or r[1] != "GET" or r[4] is None or not (200 <= r[4] < 300) or r[6].hour not in ranges:
+            continue
+        sets[(P.WEEKDAY_ABBR[r[6].weekday()], ranges[r[6].hour])].add(r[2])
+    got_u = {(r["weekday"], r["hour_range"]): r["unique_endpoints"]
+             for r in BD.unique_endpoints_by_status(df, 200, 300).collect()}
+    assert got_u == {k: len(v) for k, v in sets.items()}
+
+    # weekday traffic
+    want_w = Counter(P.WEEKDAY_NAMES[r[6].weekday()] for r in rows if r[6] is not None)
+    assert {r["day"]: r["count"] for r in TR.weekday_traffic(df).collect()} == dict(want_w)
