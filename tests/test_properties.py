@@ -157,3 +157,45 @@ def test_breakdowns_equal_python(spark, rows):
     # weekday traffic
     want_w = Counter(P.WEEKDAY_NAMES[r[6].weekday()] for r in rows if r[6] is not None)
     assert {r["day"]: r["count"] for r in TR.weekday_traffic(df).collect()} == dict(want_w)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=request_rows())
+def test_host_features_equal_python(spark, rows):
+    import datetime as dt
+    import statistics
+    from collections import defaultdict
+
+    from logscope.operators import features as FT
+    schema = ("host string, method string, endpoint string, protocol string, status int, content_size int, "
+              "time timestamp_ntz")
+    df = spark.createDataFrame(rows, schema)
+    got = {r["host"]: r for r in FT.host_features_derived(df).collect()}
+    by = defaultdict(list)
+    for r in rows:
+        by[r[0]].append(r)
+    assert set(got) == set(by)
+    epoch = dt.datetime(1970, 1, 1)
+    for h, rs in by.items():
+        g = got[h]
+        sizes = [r[5] for r in rs]
+        times = [r[6] for r in rs if r[6] is not None]
+        days = {t.day for t in times}
+        assert g["total_requests"] == len(rs)
+        assert g["unique_pages"] == len({r[2] for r in rs})
+        assert g["active_hours"] == len({t.hour for t in times})
+        assert g["active_days"] == len(days)
+        assert abs(g["avg_content_size"] - sum(sizes) / len(sizes)) < 1e-6
+        if len(sizes) > 1:
+            assert abs(g["std_content_size"] - statistics.stdev(sizes)) < 1e-6 * max(1.0, statistics.stdev(sizes))
+        else:
+            assert g["std_content_size"] is None
+        errors = sum(1 for r in rs if r[4] is not None and r[4] >= 400)
+        assert g["error_count"] == errors
+        assert abs(g["error_rate"] - errors / len(rs)) < 1e-12
+        if times:
+            avg_ts = sum((t - epoch).total_seconds() for t in times) / len(times)
+            assert abs(g["avg_timestamp"] - avg_ts) < 1e-3
+            assert abs(g["requests_per_day"] - len(rs) / len(days)) < 1e-12
+        else:
+            assert g["avg_timestamp"] is None and g["requests_per_day"] is None
