@@ -67,3 +67,9 @@ def forecast(history: DataFrame, periods: int = 30, keys: Sequence[str] = (), z:
 def traffic_forecast(df: DataFrame, periods: int = 30) -> DataFrame:
     """Site-wide daily request forecast (M12 applied to the request log)."""
     return forecast(daily_history(df), periods)
+
+
+def host_traffic_forecast(df: DataFrame, periods: int = 7) -> DataFrame:
+    """Per-host daily request forecast: the same model for every host at
+    once, partitioned by host (each window holds one host's days)."""
+    return forecast(daily_history(df, ["host"]), periods, keys=["host"])

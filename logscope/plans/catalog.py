@@ -1137,3 +1137,29 @@ def q_materialized_parsed(spark, sf):
     materialize_parsed(parsed(spark, sf), path)
     return read_requests(spark, path).select("host", "timestamp", "method", "endpoint", "protocol", "status",
                                              "content_size", "time")
+
+
+def _host_forecast_sql(periods: int = 7, z: float = FC.Z80) -> str:
+    ctes = [
+        "h AS (SELECT host, CAST(time AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y FROM r "
+        "WHERE time IS NOT NULL GROUP BY 1, 2)",
+        "span AS (SELECT host, min(ds) AS d0, max(ds) AS d1 FROM h GROUP BY host)",
+        "hx AS (SELECT h.host, ds, y, CAST(ds - d0 AS DOUBLE) AS x FROM h JOIN span USING (host))",
+        "fit AS (SELECT host, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt FROM hx GROUP BY host)",
+        "res AS (SELECT hx.host, CAST(isodow(ds) - 1 AS INTEGER) AS wd, y - (icpt + slope * x) AS resid "
+        "FROM hx JOIN fit USING (host))",
+        "eff AS (SELECT host, wd, avg(resid) AS effect FROM res GROUP BY host, wd)",
+        "sig AS (SELECT host, stddev_samp(resid - effect) AS sigma FROM res JOIN eff USING (host, wd) GROUP BY host)",
+        f"fut AS (SELECT span.host, CAST(d1 + CAST(i AS INTEGER) AS DATE) AS ds, d0 FROM span, range(1, {periods + 1}) t(i))",
+        "pr AS (SELECT f.host, f.ds, icpt + slope * CAST(f.ds - f.d0 AS DOUBLE) + coalesce(e.effect, 0.0::DOUBLE) "
+        f"AS yhat, {z!r}::DOUBLE * coalesce(s.sigma, 0.0::DOUBLE) AS band FROM fut f JOIN fit USING (host) "
+        "LEFT JOIN eff e ON f.host = e.host AND e.wd = CAST(isodow(f.ds) - 1 AS INTEGER) "
+        "LEFT JOIN sig s ON f.host = s.host)",
+    ]
+    return with_base("SELECT host, ds, round(yhat, 6) AS yhat, round(yhat - band, 6) AS yhat_lower, "
+                     "round(yhat + band, 6) AS yhat_upper FROM pr", *ctes)
+
+
+@register("host_traffic_forecast", _host_forecast_sql())
+def q_host_traffic_forecast(spark, sf):
+    return FC.host_traffic_forecast(R(spark, sf))
