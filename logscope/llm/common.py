@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.session import shared_path
+from logscope.session import shared_path, ship_package
 
 #: Java pattern of what separates words: space and the controls 9-13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,3 +27,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def words(text):
     """Words of a text column, in order (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
+
+
+def python_workers(spark: SparkSession, rows_per_batch: int = 256) -> None:
+    """Before a Python step over texts: workers get this package, and Arrow
+    batches hold few rows, as one text may have megabytes."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
