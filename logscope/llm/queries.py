@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import bpe, mixing, pii, rules, simhash
+from logscope.llm import bpe, mixing, pii, rules, sharding, simhash
 from logscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.report(docs, pii.fit(docs))
+
+
+@register("op8_shards")
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    put = sharding.shards(table(spark, sf_dir, "documents"), n_shards=24)
+    return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
