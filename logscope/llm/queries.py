@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import bpe, mixing, pii, rules, sharding, simhash
+from logscope.llm import bpe, mixing, pii, rules, sharding, simhash, urls
 from logscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,27 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     put = sharding.shards(table(spark, sf_dir, "documents"), n_shards=24)
     return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+OP4_SQL = rf"""
+WITH k(verdict, host, path) AS (VALUES {_RULES_SQL}),
+u AS (SELECT row_number() OVER () AS rid, page_id, strpos(coalesce(url, ''), '://') AS sep, coalesce(url, '') AS url FROM pages),
+s AS (SELECT rid, page_id, CASE WHEN sep > 0 THEN substr(url, sep + 3) ELSE '' END AS s FROM u),
+p AS (SELECT rid, page_id, translate(regexp_extract(s, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(s, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+f AS (SELECT p.*, k.verdict, k.host || k.path AS rule,
+             row_number() OVER (PARTITION BY rid ORDER BY length(k.host || k.path) DESC, length(k.host) DESC, k.verdict DESC) AS n
+      FROM p LEFT JOIN k ON (p.host = k.host OR ends_with(p.host, '.' || k.host)) AND starts_with(p.path, k.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE n = 1"""
+
+
+@register("op4_url_filter", OP4_SQL)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules_table = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urls.judge(pages, urls.build(pages, rules_table))
