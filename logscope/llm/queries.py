@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import bpe, kdtree, mixing, pii, rules, sharding, simhash, urls
+from logscope.llm import bpe, kdtree, mixing, pii, rules, sharding, simhash, suffixes, urls
 from logscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return kdtree.top_k(kdtree.index(vectors), vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@register("op3_repeated_passages")
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
