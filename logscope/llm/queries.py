@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import bpe, kdtree, mixing, pii, rules, sharding, simhash, suffixes, urls
+from logscope.llm import bpe, kdtree, linecrf, mixing, pii, rules, sharding, simhash, suffixes, urls
 from logscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linecrf.score(docs, linecrf.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 _BITS_SQL = " + ".join(f"CASE WHEN {rule} THEN {rules.bit(name)} ELSE 0 END" for name, rule in rules.RULES.items())
 
 OP2_SQL = rf"""
