@@ -11,9 +11,9 @@ Spark job layout (Liu, Ting and Zhou, 2008):
    group (numpy); at most ``n_trees * (2 * psi - 1)`` nodes in total.
 3. The forest (bounded by the line above) is broadcast and
    ``mapInPandas`` scores every row in Arrow batches.
-4. The outlier threshold is the (1 - contamination) quantile of the
-   scores, from ``percentile_approx`` (bounded memory); label -1 above
-   it, 1 otherwise, as ``fit_predict`` does.
+4. The outlier threshold is the exact (1 - contamination) quantile of the
+   scores, found in bounded memory (``ranks``); label -1 above it, 1
+   otherwise, as ``fit_predict`` does.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.operators.features import FEATURES, host_features_derived, ml_ready
+from logscope.operators.ranks import linear_quantile
 from logscope.session import checkpointed
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -128,7 +129,8 @@ def isolation_forest(features: DataFrame, cols: list[str], id_col: str = "host",
 
     id_type = dict(x.dtypes)[id_col]
     scored = x.mapInPandas(score, f"{id_col} {id_type}, anomaly_score double")
-    cut = scored.select(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000)).scalar()
+    scored = checkpointed(scored)  # the threshold passes and the result read it
+    cut = F.lit(linear_quantile(scored, 1.0 - contamination, "anomaly_score"))
     return scored.withColumn("label", F.when(F.col("anomaly_score") > cut, F.lit(-1)).otherwise(F.lit(1)))
 
 

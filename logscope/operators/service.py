@@ -51,8 +51,8 @@ class LogService:
 
     def content_size_distribution(self, start=None, end=None, bin_count: int = 50) -> tuple[DataFrame, DataFrame]:
         """(histogram rows, one row of mean/median/max/min), sizes in KB."""
-        f = self._filter(start, end)
-        return SZ.size_histogram(f, bin_count), SZ.size_stats_kb(f)
+        counts = SZ.size_counts(self._filter(start, end))  # the only pass over the requests
+        return SZ.histogram_of(counts, bin_count), SZ.stats_of(counts)
 
     def host_frequency(self, limit: int = 20, start=None, end=None) -> DataFrame:
         return DS.top_hosts(self._filter(start, end), limit)
@@ -70,10 +70,11 @@ class Dashboard:
 
     def __init__(self, requests: DataFrame, start_date=None, end_date=None,
                  statuses: Sequence | None = None, methods: Sequence[str] | None = None):
+        self.requests = requests  # choices do not narrow with the selection
         self.df = FL.filter_page(requests, start_date, end_date, statuses, methods)
 
     def domains(self) -> DataFrame:
-        return FL.filter_domains(self.df)
+        return FL.filter_domains(self.requests)
 
     def status_distribution(self) -> DataFrame:
         return DS.status_distribution(self.df)
@@ -85,7 +86,8 @@ class Dashboard:
         return DS.method_share(self.df)
 
     def content_size_distribution(self) -> tuple[DataFrame, DataFrame]:
-        return SZ.size_histogram_nice(self.df, 50), SZ.size_stats_kb(self.df)
+        counts = SZ.size_counts(self.df)
+        return SZ.nice_histogram_of(counts, 50), SZ.stats_of(counts)
 
     def host_frequency(self) -> DataFrame:
         return DS.top_hosts_share(self.df, 20)
