@@ -11,12 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _bound(x):
+    return dt.datetime.fromisoformat(x) if isinstance(x, str) else x
+
+
+def _aware(x) -> bool:
+    return isinstance(x, dt.datetime) and x.utcoffset() is not None
+
+
+def _instant(x):
+    """Epoch seconds of an aware bound."""
+    return F.lit(x.timestamp())
+
+
 def _ts(x):
     """Wall-clock literal; built from text so no zone conversion applies."""
-    if x is None:
-        return None
-    if isinstance(x, str):
-        x = dt.datetime.fromisoformat(x)
     if isinstance(x, dt.date) and not isinstance(x, dt.datetime):
         x = dt.datetime(x.year, x.month, x.day)
     return F.lit(x.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
@@ -46,15 +55,22 @@ def _prune_dates(df: DataFrame, lo=None, hi=None) -> DataFrame:
 
 def filter_time_methods(df: DataFrame, start=None, end=None,
                         methods: Sequence[str] | None = None) -> DataFrame:
-    """Service filter (D1): optional inclusive wall-clock range and methods.
+    """Service filter (D1): optional inclusive range and methods.
 
-    Empty/None arguments mean "no filter", as in the service.
+    Empty/None arguments mean "no filter", as in the service. A bound without
+    a zone is compared with the wall clock; a bound with one is an instant and
+    needs the column ``instant_epoch`` (``requests_table(..., instant=True)``).
     """
-    out = _prune_dates(df, start, end)
+    start, end = _bound(start), _bound(end)
+    if (_aware(start) or _aware(end)) and "instant_epoch" not in df.columns:
+        raise ValueError("a bound with a zone needs instant_epoch: use requests_table(lines, instant=True)")
+    day = dt.timedelta(days=1)  # a wall-clock date is at most a day from the instant's UTC date
+    out = _prune_dates(df, start.astimezone(dt.timezone.utc) - day if _aware(start) else start,
+                       end.astimezone(dt.timezone.utc) + day if _aware(end) else end)
     if start is not None:
-        out = out.filter(F.col("time") >= _ts(start))
+        out = out.filter(F.col("instant_epoch") >= _instant(start) if _aware(start) else F.col("time") >= _ts(start))
     if end is not None:
-        out = out.filter(F.col("time") <= _ts(end))
+        out = out.filter(F.col("instant_epoch") <= _instant(end) if _aware(end) else F.col("time") <= _ts(end))
     if methods:
         out = out.filter(F.col("method").isin(list(methods)))
     return out
@@ -65,9 +81,10 @@ def filter_page(df: DataFrame, start_date=None, end_date=None,
     """Page filter (D2): inclusive calendar-date range, status and method lists.
 
     A ``None`` member of ``statuses`` selects NULL status, as selecting NaN
-    does in the dashboard; Spark's ``IN`` alone would drop those rows.
+    does in the dashboard; Spark's ``IN`` alone would drop those rows. A row
+    without a time is in no date range, so it never passes.
     """
-    out = _prune_dates(df, start_date, end_date)
+    out = _prune_dates(df, start_date, end_date).filter(F.col("time").isNotNull())
     d = F.to_date("time")
     if start_date is not None:
         out = out.filter(d >= _date(start_date))
@@ -85,13 +102,22 @@ def filter_page(df: DataFrame, start_date=None, end_date=None,
 
 
 def filter_domains(df: DataFrame) -> DataFrame:
-    """Filter choices (D3) as rows ``(domain, value)``: min/max date and the
-    sorted distinct statuses and methods. Distinct sets are aggregated
-    distributedly; only the (small) domain lists are produced."""
-    dates = df.agg(F.min(F.to_date("time")).alias("lo"), F.max(F.to_date("time")).alias("hi"))
-    date_rows = dates.select(F.inline(F.array(
-        F.struct(F.lit("min_date").alias("domain"), F.col("lo").cast("string").alias("value")),
-        F.struct(F.lit("max_date").alias("domain"), F.col("hi").cast("string").alias("value")))))
-    status_rows = df.select(F.lit("status").alias("domain"), F.col("status").cast("string").alias("value")).distinct()
-    method_rows = df.select(F.lit("method").alias("domain"), F.col("method").alias("value")).distinct()
-    return date_rows.unionByName(status_rows).unionByName(method_rows)
+    """Filter choices (D3) as rows ``(domain, value)`` in order: min/max date
+    and the sorted distinct statuses and methods. One pass: the requests are
+    reduced to one row per (status, method), and the choices come from those."""
+    day = F.to_date("time")
+    small = df.groupBy("status", "method").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    one = small.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"),
+                    *[F.sort_array(F.collect_set(c)).alias(c) for c in ("status", "method")],
+                    *[F.bool_or(F.col(c).isNull()).alias(f"null_{c}") for c in ("status", "method")])
+
+    def rows(domain, values):
+        return F.transform(values, lambda v: F.struct(F.lit(domain).alias("domain"), v.cast("string").alias("value")))
+
+    def choices(c):
+        none = F.array(F.lit(None).cast("string"))
+        values = F.transform(F.col(c), lambda v: v.cast("string"))
+        return rows(c, F.when(F.col(f"null_{c}"), F.concat(none, values)).otherwise(values))
+
+    return one.select(F.inline(F.concat(rows("min_date", F.array("lo")), rows("max_date", F.array("hi")),
+                                        choices("status"), choices("method"))))

@@ -43,9 +43,11 @@ def with_instant(parsed: DataFrame) -> DataFrame:
                          X.clf_instant_epoch("timestamp").alias("instant_epoch"))
 
 
-def requests_table(lines: DataFrame) -> DataFrame:
-    """The request table ``R``: parse, fill sizes, convert time."""
-    return with_time(fill_content_size(parse_log(lines)))
+def requests_table(lines: DataFrame, instant: bool = False) -> DataFrame:
+    """The request table ``R``: parse, fill sizes, convert time. ``instant``
+    adds ``instant_epoch``, for filters by bounds with a zone."""
+    parsed = fill_content_size(parse_log(lines))
+    return with_instant(parsed).drop("timestamp") if instant else with_time(parsed)
 
 
 def parse_no_match(lines: DataFrame, value: str = "value", sentinel: str = "no match") -> DataFrame:
