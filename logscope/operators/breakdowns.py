@@ -25,33 +25,31 @@ def top5_hosts(df: DataFrame, k: int = 5) -> DataFrame:
     return _top_hosts(df, k)
 
 
-def _top_host_activity(df: DataFrame, key, key_name: str, k: int) -> DataFrame:
-    """Counts per (key, host) for the top ``k`` hosts.
-
-    The top hosts are summed from the (key, host) aggregate and applied as
-    a null-safe semi-join with a ``k``-row broadcast list (a side of proven
-    size). Catalyst pushes that semi-join below the aggregate, so the plan
-    is two narrow scans (host and time only): one for the top list, and one
-    that aggregates only the top hosts' rows.
+def _top_host_activity(df: DataFrame, key, key_name: str, values: list, k: int) -> DataFrame:
+    """Counts per (key, host) for the top ``k`` hosts, from one pass.
+
+    One aggregate per host holds its total and a count for each of the few
+    ``values`` of the key and for NULL; the top ``k`` of those rows unfold.
     """
-    activity = df.groupBy(key.alias(key_name), "host").agg(F.count(F.lit(1)).alias("count"))
-    top = (activity.groupBy("host").agg(F.sum("count").alias("total_requests"))
-           .orderBy(F.col("total_requests").desc(), "host").limit(k).select(F.col("host").alias("top_host")))
-    # null-safe membership, as a list filter keeps a NULL host that made the top list
-    hit = activity["host"].eqNullSafe(F.col("top_host"))
-    return activity.join(F.broadcast(top), hit, "left_semi").select(key_name, "host", "count")
+    slots = [F.count_if(key.eqNullSafe(F.lit(v))).alias(f"n{i}") for i, v in enumerate(values)]
+    per_host = df.groupBy("host").agg(F.count(F.lit(1)).alias("total_requests"), *slots, F.count_if(key.isNull()).alias("n_null"))
+    top = per_host.orderBy(F.col("total_requests").desc(), "host").limit(k)
+    kind = "string" if isinstance(values[0], str) else "int"
+    rows = [F.struct(F.lit(v).cast(kind).alias(key_name), F.col(n).alias("count"))
+            for v, n in [*((v, f"n{i}") for i, v in enumerate(values)), (None, "n_null")]]
+    return top.select("host", F.inline(F.array(*rows))).where("count > 0").select(key_name, "host", "count")
 
 
 def top5_host_weekday(df: DataFrame, k: int = 5) -> DataFrame:
     """Requests per weekday for the top ``k`` hosts, Monday first."""
-    out = _top_host_activity(df, C.weekday_abbr("time"), "weekday", k)
+    out = _top_host_activity(df, C.weekday_abbr("time"), "weekday", list(P.WEEKDAY_ABBR), k)
     order = F.array_position(F.array(*[F.lit(x) for x in P.WEEKDAY_ABBR]), F.col("weekday"))
     return out.orderBy(order, "host")
 
 
 def top5_host_hour(df: DataFrame, k: int = 5) -> DataFrame:
     """Requests per hour for the top ``k`` hosts."""
-    return _top_host_activity(df, F.hour("time"), "hour", k).orderBy("hour", "host")
+    return _top_host_activity(df, F.hour("time"), "hour", list(range(24)), k).orderBy("hour", "host")
 
 
 def hourly_status_counts(df: DataFrame) -> DataFrame:

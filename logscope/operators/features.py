@@ -1,10 +1,10 @@
 """Per-host behaviour features (M1-M3).
 
 One ``groupBy('host')``: the plain aggregates are partially aggregated
-before the shuffle, and the three distinct counts go through Spark's
-Expand + two-level aggregation, keyed by (host, value), so even a host
-holding a third of all requests is spread over many tasks and only its
-distinct values (not its rows) meet in one place.
+before the shuffle, hours and days are bits of a long, and the one true
+distinct count (pages) is a two-level aggregation keyed by (host, page), so
+even a host holding a third of all requests is spread over many tasks and
+only its distinct pages (not its rows) meet in one place.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscope.functions.numeric import round_to
@@ -23,13 +23,19 @@ FEATURES = ["total_requests", "unique_pages", "active_hours", "avg_content_size"
             "std_content_size", "error_rate", "requests_per_day"]
 
 
+def _distinct_below_64(x: Column) -> Column:
+    """Distinct values of an integer below 64, as bits of a long: no Expand."""
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), x))
+    return F.coalesce(F.bit_count(seen), F.lit(0)).cast("bigint")
+
+
 def host_features(df: DataFrame) -> DataFrame:
     """Volume, time, size, error and session features per host (M1)."""
     return df.groupBy("host").agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.countDistinct("endpoint").alias("unique_pages"),
-        F.countDistinct(F.hour("time")).alias("active_hours"),
-        F.countDistinct(F.dayofmonth("time")).alias("active_days"),
+        _distinct_below_64(F.hour("time")).alias("active_hours"),
+        _distinct_below_64(F.dayofmonth("time")).alias("active_days"),
         F.avg("content_size").alias("avg_content_size"),
         F.stddev_samp("content_size").alias("std_content_size"),
         F.sum(F.when(F.col("status") >= 400, 1).otherwise(0)).cast("bigint").alias("error_count"),
@@ -74,6 +80,17 @@ def host_features_scaled(df: DataFrame, digits: int = 6) -> DataFrame:
     return x.select(*cols)
 
 
+#: Partitions of a model's input, whatever the shuffle layout: k-means takes its
+#: first centres by partition. Raise it with the number of hosts.
+MODEL_PARTITIONS = 32
+
+
+def fixed_layout(features: DataFrame, partitions: int = MODEL_PARTITIONS) -> DataFrame:
+    """The same rows in the same partitions and order for any cluster and
+    shuffle setting, checkpointed, so that fits repeat."""
+    return checkpointed(features.repartition(partitions, "host").sortWithinPartitions("host"))
+
+
 def pca_pipeline(k: int = 3) -> Pipeline:
     return Pipeline(stages=[
         VectorAssembler(inputCols=FEATURES, outputCol="raw_features"),
@@ -89,12 +106,18 @@ def prepare_ml_features(df: DataFrame, k: int = 3) -> DataFrame:
     covariance) over the checkpointed feature table, so the requests are
     aggregated once; the output keeps host, scaled and PCA vectors.
     """
-    x = checkpointed(ml_ready(host_features_derived(df)))  # both fits read it
+    x = fixed_layout(ml_ready(host_features_derived(df)))  # both fits read it
     model = pca_pipeline(k).fit(x)
     return model.transform(x)
 
 
-def host_pca(df: DataFrame, k: int = 3) -> DataFrame:
-    out = prepare_ml_features(df, k)
+def host_pca(df: DataFrame, k: int = 3, digits: int = 6) -> DataFrame:
+    """The ``k`` principal components per host, the largest loading of each
+    positive."""
+    x = fixed_layout(ml_ready(host_features_derived(df)))
+    model = pca_pipeline(k).fit(x)
+    loadings = model.stages[-1].pc.toArray()  # 7 x k
     arr = vector_to_array("features")
-    return out.select("host", *[arr[i].alias(f"pc{i + 1}") for i in range(k)])
+    signs = [1.0 if max(loadings[:, i], key=abs) > 0 else -1.0 for i in range(k)]
+    return model.transform(x).select("host", *[
+        round_to(arr[i] * F.lit(signs[i]), digits).alias(f"pc{i + 1}") for i in range(k)])

@@ -10,8 +10,6 @@ Centres, sizes and metrics are k-row tables.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -23,6 +21,7 @@ from logscope.functions import patterns as P
 from logscope.functions.numeric import round_to
 from logscope.operators.daily import avg_daily_requests_per_host
 from logscope.operators.features import FEATURES, prepare_ml_features
+from logscope.session import checkpointed
 
 DAY_FEATURES = ["avg_reqs", "total_reqs", "total_hosts"]
 
@@ -149,8 +148,9 @@ def model_comparison(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
 
 def day_table(df: DataFrame) -> DataFrame:
     """E16 day table; <= 31 rows (day of month), so single-partition steps
-    below are bounded by construction."""
-    return avg_daily_requests_per_host(df).coalesce(1)
+    below are bounded by construction. Checkpointed: fits read it often, the
+    requests once."""
+    return checkpointed(avg_daily_requests_per_host(df))
 
 
 def perform_day_clustering(df: DataFrame, k: int = 4, seed: int = 42):
@@ -166,39 +166,32 @@ def day_segments(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return pred.select("day", *DAY_FEATURES, "segment").orderBy("day")
 
 
-def _silhouette_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact Euclidean silhouette of <= 31 labelled points (one day table)."""
-    x = pdf[DAY_FEATURES].to_numpy(dtype=float)
-    lab = pdf["segment"].to_numpy()
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    s = np.zeros(len(x))
-    labels = np.unique(lab)
-    for i in range(len(x)):
-        same = lab == lab[i]
-        if same.sum() <= 1 or len(labels) < 2:
-            continue
-        a = d[i, same].sum() / (same.sum() - 1)
-        b = min(d[i, lab == o].mean() for o in labels if o != lab[i])
-        s[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-    overall = float(s.mean()) if len(s) else float("nan")
-    out = pd.DataFrame({"segment": lab, "s": s}).groupby("segment", as_index=False)["s"].mean()
-    out.columns = ["segment", "silhouette"]
-    out["overall_silhouette"] = overall
-    return out
-
-
 def _day_silhouette(pred: DataFrame) -> DataFrame:
-    pts = pred.select(F.lit(0).alias("g"), "segment", *DAY_FEATURES)
-    return (pts.groupBy("g").applyInPandas(
-        lambda pdf: _silhouette_pdf(pdf),
-        "segment int, silhouette double, overall_silhouette double").orderBy("segment"))
+    """Exact Euclidean silhouette of the labelled days, natively: each day
+    lists all days (at most 31) and is equi-joined with them."""
+    points = pred.select(F.row_number().over(Window.orderBy("day")).alias("i"), "segment",
+                         F.array(*[F.col(c).cast("double") for c in DAY_FEATURES]).alias("a"))
+    n = F.count("*").over(Window.partitionBy())
+    listed = points.withColumn("n", n).select("i", "segment", "a", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("j"))
+    other = points.select(F.col("i").cast("bigint").alias("j"), F.col("segment").alias("other"), F.col("a").alias("b"))
+    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v))
+    sums = listed.join(other, "j").withColumn("d", d).groupBy("i", "segment", "other").agg(
+        F.sum("d").alias("d"), F.count("*").alias("n"))
+    own = F.col("segment") == F.col("other")
+    sides = sums.groupBy("i", "segment").agg(
+        F.max(F.when(own & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("near"),
+        F.min(F.when(~own, F.col("d") / F.col("n"))).alias("far"))
+    top = F.greatest("near", "far")
+    s = F.when(F.col("near").isNull() | F.col("far").isNull() | (top <= 0), F.lit(0.0)).otherwise((F.col("far") - F.col("near")) / top)
+    each = sides.select("segment", s.alias("s"))
+    overall = F.sum(F.sum("s")).over(Window.partitionBy()) / F.sum(F.count("*")).over(Window.partitionBy())
+    return each.groupBy("segment").agg(F.avg("s").alias("silhouette"), overall.alias("overall_silhouette")).orderBy("segment")
 
 
 def day_silhouette(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """Overall and per-segment Euclidean silhouette of the day clustering.
 
-    The day table has at most 31 rows, so the pairwise distances are
-    computed in one bounded pandas group.
+    The day table has at most 31 rows, so at most 31 x 31 distances exist.
     """
     _, pred = perform_day_clustering(df, k, seed)
     return _day_silhouette(pred)
@@ -288,7 +281,7 @@ def wssse(labelled: DataFrame, cols: list[str]) -> DataFrame:
     for c in cols:
         d = F.col(c).cast("double") - F.col(f"c_{c}")
         sq = d * d if sq is None else sq + d * d
-    return labelled.join(F.broadcast(centers), "segment").agg(F.sum(sq).alias("wssse"))
+    return labelled.join(centers, "segment").agg(F.sum(sq).alias("wssse"))
 
 
 def day_label_summary(df: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
