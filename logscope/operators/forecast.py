@@ -41,8 +41,9 @@ def forecast(history: DataFrame, periods: int = 30, keys: Sequence[str] = (), z:
     series = Window.partitionBy(*keys)
     fitted = (h.withColumn("d0", F.min("ds").over(series))
               .withColumn("x", F.datediff("ds", "d0").cast("double"))
-              .withColumn("slope", F.regr_slope("y", "x").over(series))
-              .withColumn("icpt", F.regr_intercept("y", "x").over(series))
+              # one day has no slope: the level is its value
+              .withColumn("slope", F.coalesce(F.regr_slope("y", "x").over(series), F.lit(0.0)))
+              .withColumn("icpt", F.coalesce(F.regr_intercept("y", "x").over(series), F.avg("y").over(series)))
               .withColumn("wd", F.weekday("ds"))
               .withColumn("resid", F.col("y") - (F.col("icpt") + F.col("slope") * F.col("x")))
               .withColumn("effect", F.avg("resid").over(Window.partitionBy(*keys, "wd")))
@@ -61,12 +62,12 @@ def forecast(history: DataFrame, periods: int = 30, keys: Sequence[str] = (), z:
     out = fut.select(*out_keys, "ds", yhat.alias("yhat"), band.alias("band"))
     return out.select(*out_keys, "ds", round_to(F.col("yhat"), digits).alias("yhat"),
                       round_to(F.col("yhat") - F.col("band"), digits).alias("yhat_lower"),
-                      round_to(F.col("yhat") + F.col("band"), digits).alias("yhat_upper")).orderBy(*out_keys, "ds")
+                      round_to(F.col("yhat") + F.col("band"), digits).alias("yhat_upper"))
 
 
 def traffic_forecast(df: DataFrame, periods: int = 30) -> DataFrame:
     """Site-wide daily request forecast (M12 applied to the request log)."""
-    return forecast(daily_history(df), periods)
+    return forecast(daily_history(df), periods).orderBy("ds")
 
 
 def host_traffic_forecast(df: DataFrame, periods: int = 7) -> DataFrame:
