@@ -23,12 +23,12 @@ def weekday_index(time: str | Column = "time") -> Column:
 
 def weekday_abbr(time: str | Column = "time") -> Column:
     labels = F.array(*[F.lit(x) for x in P.WEEKDAY_ABBR])
-    return F.element_at(labels, F.weekday(_c(time)) + 1)
+    return F.when(_c(time).isNotNull(), F.get(labels, F.weekday(_c(time))))
 
 
 def weekday_name(time: str | Column = "time") -> Column:
     labels = F.array(*[F.lit(x) for x in P.WEEKDAY_NAMES])
-    return F.element_at(labels, F.weekday(_c(time)) + 1)
+    return F.when(_c(time).isNotNull(), F.get(labels, F.weekday(_c(time))))
 
 
 def _hour_labels() -> list[str]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logscope.functions import patterns as P
@@ -52,21 +52,26 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-_REQUESTS_OVERRIDE: dict[tuple[int, str], DataFrame] = {}
+def _served(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """A table is served to the Spark application that made it, and to no later one."""
+    return spark.sparkContext.applicationId, sf
+
+
+_REQUESTS_OVERRIDE: dict[tuple[str, str], DataFrame] = {}
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     return load_log_lines(spark, sf)
 
 
-_PARSED_OVERRIDE: dict[tuple[int, str], DataFrame] = {}
+_PARSED_OVERRIDE: dict[tuple[str, str], DataFrame] = {}
 
 
 def use_materialized_parsed(spark: SparkSession, sf: str, table: DataFrame | None) -> None:
     """Serve both the parsed table and ``R`` for (spark, sf) from one
     materialised parsed table (``materialize_parsed``); ``None`` restores
     the parse path."""
-    key = (id(spark), sf)
+    key = _served(spark, sf)
     if table is None:
         _PARSED_OVERRIDE.pop(key, None)
         _REQUESTS_OVERRIDE.pop(key, None)
@@ -76,7 +81,7 @@ def use_materialized_parsed(spark: SparkSession, sf: str, table: DataFrame | Non
 
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    m = _PARSED_OVERRIDE.get((id(spark), sf))
+    m = _PARSED_OVERRIDE.get(_served(spark, sf))
     if m is not None:
         return m.select("host", "timestamp", "method", "endpoint", "protocol", "status", "content_size")
     return parse_log(lines(spark, sf))
@@ -89,9 +94,10 @@ def filled(spark: SparkSession, sf: str) -> DataFrame:
 def use_materialized(spark: SparkSession, sf: str, requests: DataFrame | None) -> None:
     """Serve ``R`` for (spark, sf) from a materialised request table (A6),
     e.g. ``read_requests(spark, path)``; ``None`` restores the parse path."""
-    key = (id(spark), sf)
+    key = _served(spark, sf)
     if requests is None:
         _REQUESTS_OVERRIDE.pop(key, None)
+        _PARSED_OVERRIDE.pop(key, None)
     else:
         _REQUESTS_OVERRIDE[key] = requests
 
@@ -99,7 +105,7 @@ def use_materialized(spark: SparkSession, sf: str, requests: DataFrame | None) -
 def R(spark: SparkSession, sf: str) -> DataFrame:
     """The request table: derived lines parsed on the fly, or the
     materialised parquet table when one was registered."""
-    m = _REQUESTS_OVERRIDE.get((id(spark), sf))
+    m = _REQUESTS_OVERRIDE.get(_served(spark, sf))
     if m is not None:
         return m  # the seven columns plus the partition column ``date``
     return requests_table(lines(spark, sf))
@@ -181,7 +187,7 @@ def q_preview(spark, sf):
     return TB.preview(rows(R(spark, sf)), 10)
 
 
-@register("filtered_rows", with_base(f"SELECT {R_COLS} FROM r"))
+@register("filtered_rows", with_base(f"SELECT {R_COLS} FROM r WHERE time IS NOT NULL"))
 def q_filtered_rows(spark, sf):
     """Raw rows under the dashboard's default selection (A7): all dates,
     every status including NULL, every method."""
@@ -913,6 +919,112 @@ def q_segment_profile_rule(spark, sf):
     return SG.segment_profile_rule(R(spark, sf))
 
 
+# ------------------------------------------- facts that fits must satisfy, recomputed from their output
+
+_HOSTS = "(SELECT count(DISTINCT host) FROM r)"
+
+
+@register("host_pca_facts", with_base(
+    f"SELECT {_HOSTS} AS n_hosts, CAST(0 AS BIGINT) AS off_centre, CAST(0 AS BIGINT) AS correlated, true AS ordered"))
+def q_host_pca_facts(spark, sf):
+    """Components have mean zero, are uncorrelated, and come by variance."""
+    return FT.pca_facts(FT.host_pca(R(spark, sf)))
+
+
+@register("host_segments_facts", with_base(
+    f"SELECT {_HOSTS} AS n_points, CAST(0 AS BIGINT) AS not_nearest, true AS cost_agrees, CAST(4 AS BIGINT) AS n_segments"))
+def q_host_segments_facts(spark, sf):
+    """Every host is at its nearest centre, and the reported cost is that of the output."""
+    feats = SG.host_ml_features(R(spark, sf))
+    model = SG.train_kmeans(feats)
+    return SG.fit_facts(model, model.transform(feats))
+
+
+@register("day_segments_facts", with_base(
+    "SELECT (SELECT count(DISTINCT day(time)) FROM r WHERE time IS NOT NULL) AS n_points, CAST(0 AS BIGINT) AS not_nearest, "
+    "true AS cost_agrees, CAST(4 AS BIGINT) AS n_segments"))
+def q_day_segments_facts(spark, sf):
+    return SG.fit_facts(*SG.perform_day_clustering(R(spark, sf)))
+
+
+@register("host_anomalies_facts", with_base(
+    f"SELECT {_HOSTS} AS n_hosts, true AS share_kept, true AS separated, CAST(0 AS BIGINT) AS out_of_range"))
+def q_host_anomalies_facts(spark, sf):
+    """At most a tenth is flagged, above all others, and scores are in (0, 1)."""
+    return AN.anomaly_facts(AN.host_anomalies(R(spark, sf)))
+
+
+@register("model_comparison_sizes", with_base(
+    f"SELECT unnest(['kmeans', 'bisecting_kmeans', 'gaussian_mixture']) AS model, {_HOSTS} AS n_hosts"))
+def q_model_comparison_sizes(spark, sf):
+    sizes = SG.model_comparison(R(spark, sf))
+    return sizes.select("model", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda t, n: t + n).alias("n_hosts"))
+
+
+@register("train_and_analyze", with_base(
+    f"SELECT {_HOSTS} AS n_hosts, {_HOSTS} AS sized, CAST(4 AS BIGINT) AS n_centers, CAST(7 AS BIGINT) AS n_features, "
+    "CAST(16 AS BIGINT) AS n_distances, CAST(0 AS BIGINT) AS asymmetric"))
+def q_train_and_analyze(spark, sf):
+    """M9: one fit and all its tables, as counts that must agree."""
+    out = SG.train_and_analyze(R(spark, sf))
+    sep = out["cluster_separation"]
+    other = sep.select(F.col("segment_i").alias("j"), F.col("segment_j").alias("i"), F.col("distance").alias("d"))
+    off = sep.join(other, (F.col("i") == F.col("segment_i")) & (F.col("j") == F.col("segment_j"))).where(
+        (F.abs(F.col("d") - F.col("distance")) > 1e-9) | ((F.col("i") == F.col("j")) & (F.col("d") > 0)))
+
+    def n(df):
+        return df.agg(F.count("*")).scalar()
+
+    return out["cluster_sizes"].agg(F.sum("size").alias("sized")).select(
+        n(out["segments"]).alias("n_hosts"), "sized", n(out["centers"]).alias("n_centers"),
+        n(out["feature_importance"]).alias("n_features"), n(sep).alias("n_distances"), n(off).alias("asymmetric"))
+
+
+# ------------------------------------------- order as data
+
+
+def _placed(df: DataFrame, *order) -> DataFrame:
+    """A small ordered result with its order as a column."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
+@register("status_freq_order", with_base(
+    "SELECT status, count(*) AS count, CAST(row_number() OVER (ORDER BY status NULLS FIRST) AS INTEGER) AS position "
+    "FROM r GROUP BY status"))
+def q_status_freq_order(spark, sf):
+    return _placed(DS.status_freq(R(spark, sf)), F.col("status").asc_nulls_first())
+
+
+@register("status_freq_desc_order", with_base(
+    "SELECT status, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, status NULLS FIRST) AS INTEGER) "
+    "AS position FROM r GROUP BY status"))
+def q_status_freq_desc_order(spark, sf):
+    return _placed(DS.status_freq_desc(R(spark, sf)), F.col("count").desc(), F.col("status").asc_nulls_first())
+
+
+@register("top5_host_weekday_order", with_base(
+    "SELECT *, CAST(row_number() OVER (ORDER BY coalesce(wd, -1), host) AS INTEGER) AS position FROM (SELECT "
+    f"{weekday_abbr_sql()} AS weekday, host, count(*) AS count, {weekday_index_sql()} AS wd FROM r "
+    "WHERE host IN (SELECT host FROM t5) GROUP BY 1, 2, 4)", _TOP5).replace("SELECT *, CAST(row", "SELECT weekday, host, count, CAST(row"))
+def q_top5_host_weekday_order(spark, sf):
+    days = F.array(*[F.lit(x) for x in P.WEEKDAY_ABBR])
+    return _placed(BD.top5_host_weekday(R(spark, sf)), F.coalesce(F.array_position(days, F.col("weekday")), F.lit(-1)), "host")
+
+
+# ------------------------------------------- bounds with a zone
+
+AWARE_START, AWARE_END = "2024-01-05T06:00:00+00:00", "2024-01-20T18:30:00+02:00"
+
+
+@register("service_aware_window", with_base(
+    "SELECT method, count(*) AS count FROM (SELECT method, TRY_CAST(substr(timestamp, 8, 4) AS INTEGER) AS y, "
+    f"{time_sql('timestamp')} + CASE WHEN timestamp LIKE '%-0400' THEN INTERVAL '4 hours' ELSE INTERVAL '-1 hours' END AS utc "
+    "FROM filled) WHERE utc >= TIMESTAMP '2024-01-05 06:00:00' AND utc <= TIMESTAMP '2024-01-20 16:30:00' GROUP BY method"))
+def q_service_aware_window(spark, sf):
+    """A window given as instants, over lines of two zones."""
+    return LogService(requests_table(lines(spark, sf), instant=True)).method_distribution(AWARE_START, AWARE_END)
+
+
 # ---------------------------------------------------------------- service / page variants
 
 

@@ -64,12 +64,14 @@ def invalid_protocol_sql(p: str = "protocol") -> str:
     return f"({p} = '' OR regexp_matches({p}, {_q(P.INVALID_PROTOCOL_PATTERN)}))"
 
 
-LINES_SQL = """lines AS (SELECT event_id, concat(
+LINES_SQL = """lines AS (SELECT event_id, CASE WHEN event_id % 211 = 1 THEN '' ELSE concat(
   CASE WHEN event_id % 50 = 0 THEN 'localhost'
        WHEN event_id % 7 = 0 THEN concat('163.206.', user_id % 256, '.4')
        ELSE concat('h', user_id, '.example.com') END,
-  ' - - [', strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' -0400] "',
-  CASE WHEN event_id % 97 = 0 THEN '' ELSE concat(
+  ' - - [', CASE event_id % 211 WHEN 2 THEN 'bad' WHEN 3 THEN concat(strftime(ts, '%d/%b/%Y:'), '24:00:06 -0400')
+    WHEN 4 THEN concat(strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' +0100')
+    ELSE concat(strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' -0400') END, '] "',
+  CASE WHEN event_id % 211 = 5 THEN 'GET /x y z HTTP/1.0' WHEN event_id % 97 = 0 THEN '' ELSE concat(
     CASE event_type WHEN 'signup' THEN 'HEAD' WHEN 'purchase' THEN 'POST' ELSE 'GET' END,
     ' /', event_type, '/', event_id % 40, '.html',
     CASE WHEN event_id % 11 = 0 THEN '' ELSE ' HTTP/1.0' END) END,
@@ -79,7 +81,9 @@ LINES_SQL = """lines AS (SELECT event_id, concat(
        WHEN event_type = 'click' AND event_id % 3 = 0 THEN '304'
        WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN '302'
        ELSE '200' END,
-  ' ', CASE WHEN event_id % 13 = 0 THEN '-' ELSE CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END) AS value
+  ' ', CASE WHEN event_id % 211 = 6 THEN '99999999999' WHEN event_id % 13 = 0 THEN '-'
+       ELSE CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END,
+  CASE WHEN event_id % 211 = 7 THEN ' ' ELSE '' END) END AS value
 FROM events)"""
 
 PARSED_SQL = f"""parsed AS (SELECT

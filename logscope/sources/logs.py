@@ -35,8 +35,12 @@ def log_lines_from_events(events: DataFrame, keep_id: bool = False) -> DataFrame
     """One CLF line per event: host, time, request, status and size vary
     with the event so that every parser branch (unmatched host, empty
     request, missing protocol, missing status, ``-`` size) is exercised.
+    ``event_id % 211`` picks the rare lines: 1 an empty line, 2 no readable
+    time, 3 hour 24, 4 another zone, 5 four words in the request, 6 a size
+    beyond 32 bits, 7 a blank at the end.
     """
     eid = F.col("event_id")
+    rare = eid % 211
     et = F.col("event_type")
     host = (F.when(eid % 50 == 0, F.lit("localhost"))
             .when(eid % 7 == 0, F.concat(F.lit("163.206."), (F.col("user_id") % 256).cast("string"), F.lit(".4")))
@@ -44,7 +48,7 @@ def log_lines_from_events(events: DataFrame, keep_id: bool = False) -> DataFrame
     verb = (F.when(et == "signup", F.lit("HEAD"))
             .when(et == "purchase", F.lit("POST"))
             .otherwise(F.lit("GET")))
-    request = F.when(eid % 97 == 0, F.lit("")).otherwise(F.concat(
+    request = F.when(rare == 5, F.lit("GET /x y z HTTP/1.0")).when(eid % 97 == 0, F.lit("")).otherwise(F.concat(
         verb, F.lit(" /"), et, F.lit("/"), (eid % 40).cast("string"), F.lit(".html"),
         F.when(eid % 11 == 0, F.lit("")).otherwise(F.lit(" HTTP/1.0"))))
     error_code = (F.when(eid % 4 == 0, F.lit("404")).when(eid % 4 == 1, F.lit("403"))
@@ -54,10 +58,14 @@ def log_lines_from_events(events: DataFrame, keep_id: bool = False) -> DataFrame
             .when((et == "click") & (eid % 3 == 0), F.lit("304"))
             .when((et == "purchase") & (eid % 5 == 0), F.lit("302"))
             .otherwise(F.lit("200")))
-    size = F.when(eid % 13 == 0, F.lit("-")).otherwise(
+    size = F.when(rare == 6, F.lit("99999999999")).when(eid % 13 == 0, F.lit("-")).otherwise(
         F.floor(F.col("value") * 100).cast("bigint").cast("string"))
-    line = F.concat(host, F.lit(" - - ["), clf_time_text("ts"),
-                    F.lit(' -0400] "'), request, F.lit('" '), code, F.lit(" "), size)
+    text = clf_time_text("ts")
+    stamp = (F.when(rare == 2, F.lit("bad")).when(rare == 3, F.concat(F.substring(text, 1, 12), F.lit("24:00:06 -0400")))
+             .when(rare == 4, F.concat(text, F.lit(" +0100"))).otherwise(F.concat(text, F.lit(" -0400"))))
+    line = F.concat(host, F.lit(" - - ["), stamp, F.lit('] "'), request, F.lit('" '), code, F.lit(" "), size,
+                    F.when(rare == 7, F.lit(" ")).otherwise(F.lit("")))
+    line = F.when(rare == 1, F.lit("")).otherwise(line)
     cols = ([eid] if keep_id else []) + [line.alias("value")]
     return events.select(*cols)
 
