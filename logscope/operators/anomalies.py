@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from logscope.operators.features import FEATURES, host_features_derived, ml_ready
 from logscope.operators.ranks import linear_quantile
-from logscope.session import checkpointed
+from logscope.session import checkpointed, ship_package
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size int, depth int")
@@ -104,6 +104,7 @@ def isolation_forest(features: DataFrame, cols: list[str], id_col: str = "host",
     cand = x.select("*", F.explode(trees).alias("tree")).withColumn("u", u(F.col("tree")))
     w = Window.partitionBy("tree").orderBy("u", id_col)
     sample = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= psi).drop("rn", "u")
+    ship_package(spark)  # the workers import this module
     grown = sample.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, cols, max_depth, seed), NODE_SCHEMA)
     rows = grown.collect()  # bounded: n_trees * (2 * psi - 1) nodes
     forest: dict[int, dict] = {}
@@ -140,3 +141,12 @@ def host_anomalies(df: DataFrame, **kw) -> DataFrame:
     score, threshold) and must not re-aggregate the requests each time."""
     feats = checkpointed(ml_ready(host_features_derived(df)))
     return isolation_forest(feats, FEATURES, "host", **kw)
+
+
+def anomaly_facts(scored: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """What the labels must satisfy, recomputed from the scores."""
+    flagged, s = F.col("label") == -1, F.col("anomaly_score")
+    n = F.count_if(flagged)
+    apart = F.min(F.when(flagged, s)) > F.max(F.when(~flagged, s))
+    return scored.agg(F.count("*").alias("n_hosts"), ((n > 0) & (n <= F.ceil(F.count("*") * contamination))).alias("share_kept"),
+                      apart.alias("separated"), F.count_if((s <= 0) | (s >= 1)).alias("out_of_range"))

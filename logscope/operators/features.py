@@ -121,3 +121,16 @@ def host_pca(df: DataFrame, k: int = 3, digits: int = 6) -> DataFrame:
     signs = [1.0 if max(loadings[:, i], key=abs) > 0 else -1.0 for i in range(k)]
     return model.transform(x).select("host", *[
         round_to(arr[i] * F.lit(signs[i]), digits).alias(f"pc{i + 1}") for i in range(k)])
+
+
+def pca_facts(components: DataFrame, k: int = 3) -> DataFrame:
+    """What principal components must satisfy, recomputed from their values:
+    hosts, components off centre, correlated pairs, order by variance."""
+    pc = [f"pc{i + 1}" for i in range(k)]
+    variance = [F.var_samp(c) for c in pc]
+    off = sum(((F.abs(F.avg(c)) > 1e-4).cast("bigint") for c in pc), F.lit(0).cast("bigint"))
+    pairs = sum(((F.abs(F.corr(a, b)) > 1e-3).cast("bigint") for i, a in enumerate(pc) for b in pc[i + 1:]), F.lit(0).cast("bigint"))
+    ordered = F.lit(True)
+    for a, b in zip(variance, variance[1:]):
+        ordered = ordered & (a >= b)
+    return components.agg(F.count("*").alias("n_hosts"), off.alias("off_centre"), pairs.alias("correlated"), ordered.alias("ordered"))

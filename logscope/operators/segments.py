@@ -123,7 +123,7 @@ def model_comparison(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """k-means, bisecting k-means and a Gaussian mixture, k each.
 
     One row per model: silhouette of its assignment, its cost (WSSSE for
-    the k-means family, NULL for the mixture) and clusters used.
+    the k-means family, NULL for the mixture), clusters used and their sizes.
     """
     feats = host_ml_features(df)
     models = {
@@ -136,12 +136,30 @@ def model_comparison(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     for name, est in models.items():
         m = est.fit(feats)
         pred = m.transform(feats)
-        used = pred.select("segment").distinct().count()
-        sil = ev.evaluate(pred) if used > 1 else None
+        sizes = sorted(r["count"] for r in pred.groupBy("segment").count().collect())  # k rows
+        sil = ev.evaluate(pred) if len(sizes) > 1 else None
         cost = float(m.summary.trainingCost) if hasattr(m.summary, "trainingCost") else None
-        rows.append((name, sil, cost, int(used)))
+        rows.append((name, sil, cost, len(sizes), sizes))
     return df.sparkSession.createDataFrame(
-        rows, "model string, silhouette double, cost double, n_clusters int")
+        rows, "model string, silhouette double, cost double, n_clusters int, sizes array<bigint>")
+
+
+def fit_facts(model, pred: DataFrame) -> DataFrame:
+    """What a k-means output must satisfy, recomputed from its rows: points not
+    at their nearest centre, whether the reported cost is theirs."""
+    x = vector_to_array("features")
+    centers = [[float(v) for v in c] for c in model.clusterCenters()]  # k rows
+
+    def distance(c):
+        return F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)),
+                           F.lit(0.0), lambda t, v: t + v)
+
+    d = pred.select(F.array(*[distance(c) for c in centers]).alias("d"), "segment")
+    own = F.get("d", F.col("segment"))
+    cost = F.lit(float(model.summary.trainingCost))
+    return d.agg(F.count("*").alias("n_points"), F.count_if(own > F.array_min("d") + 1e-9 * (own + 1)).alias("not_nearest"),
+                 (F.abs(F.sum(own) - cost) <= 1e-6 * (cost + 1)).alias("cost_agrees"),
+                 F.countDistinct("segment").alias("n_segments"))
 
 
 # ---------------------------------------------------------------- days

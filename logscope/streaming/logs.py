@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from logscope.operators.parse import requests_table
 
 
+#: Files that a date gets per micro-batch, at most.
+FILES_PER_DATE = 8
+
+
 def parsed_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming request table ``R`` over text files landing in ``folder``."""
     reader = spark.readStream.format("text")
@@ -22,7 +26,9 @@ def append_parsed_logs(stream: DataFrame, table_path: str, checkpoint_path: str,
     ``checkpoint_path`` must be on shared storage (the stream's offsets
     and commit log), so a restarted driver resumes without duplicates.
     """
-    w = (stream.withColumn("date", F.to_date("time")).writeStream
+    # a date meets in a few tasks, not in every one: few files, and no hot date in one task
+    part = F.pmod(F.xxhash64("host", "time", "endpoint"), F.lit(FILES_PER_DATE))
+    w = (stream.withColumn("date", F.to_date("time")).repartition(F.col("date"), part).writeStream
          .format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint_path)
          .partitionBy("date").outputMode("append"))

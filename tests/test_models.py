@@ -93,7 +93,23 @@ def test_feature_importance_sorted(r):
 
 
 def test_host_pca_width(r):
-    assert SG.host_ml_features(r).select(F.size(F.lit([1]))).count() == r.select("host").distinct().count()
+    from pyspark.ml.functions import vector_to_array
+    widths = SG.host_ml_features(r).select(F.size(vector_to_array("features")).alias("n"),
+                                           F.size(vector_to_array("scaled_features")).alias("s")).collect()
+    assert {(x["n"], x["s"]) for x in widths} == {(3, 7)}
+    assert len(widths) == r.select("host").distinct().count()
+
+
+def test_segments_do_not_depend_on_the_shuffle_layout(spark, r):
+    was, seen = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for n in (3, 7, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            rows = SG.segment_evaluation(r).collect()
+            seen.add((tuple(sorted(x["size"] for x in rows)), round(rows[0]["wssse"], 6)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(seen) == 1
 
 
 def test_train_and_analyze(r):
