@@ -1018,7 +1018,7 @@ AWARE_START, AWARE_END = "2024-01-05T06:00:00+00:00", "2024-01-20T18:30:00+02:00
 
 @register("service_aware_window", with_base(
     "SELECT method, count(*) AS count FROM (SELECT method, TRY_CAST(substr(timestamp, 8, 4) AS INTEGER) AS y, "
-    f"{time_sql('timestamp')} + CASE WHEN timestamp LIKE '%-0400' THEN INTERVAL '4 hours' ELSE INTERVAL '-1 hours' END AS utc "
+    f"{time_sql('timestamp')} + CASE WHEN timestamp LIKE '%-0400' THEN INTERVAL '4 hours' ELSE INTERVAL '1 hour' END AS utc "
     "FROM filled) WHERE utc >= TIMESTAMP '2024-01-05 06:00:00' AND utc <= TIMESTAMP '2024-01-20 16:30:00' GROUP BY method"))
 def q_service_aware_window(spark, sf):
     """A window given as instants, over lines of two zones."""

@@ -70,6 +70,7 @@ LINES_SQL = """lines AS (SELECT event_id, CASE WHEN event_id % 211 = 1 THEN '' E
        ELSE concat('h', user_id, '.example.com') END,
   ' - - [', CASE event_id % 211 WHEN 2 THEN 'bad' WHEN 3 THEN concat(strftime(ts, '%d/%b/%Y:'), '24:00:06 -0400')
     WHEN 4 THEN concat(strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' +0100')
+    WHEN 8 THEN concat(strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' -0100')
     ELSE concat(strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' -0400') END, '] "',
   CASE WHEN event_id % 211 = 5 THEN 'GET /x y z HTTP/1.0' WHEN event_id % 97 = 0 THEN '' ELSE concat(
     CASE event_type WHEN 'signup' THEN 'HEAD' WHEN 'purchase' THEN 'POST' ELSE 'GET' END,

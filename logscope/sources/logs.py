@@ -36,8 +36,8 @@ def log_lines_from_events(events: DataFrame, keep_id: bool = False) -> DataFrame
     with the event so that every parser branch (unmatched host, empty
     request, missing protocol, missing status, ``-`` size) is exercised.
     ``event_id % 211`` picks the rare lines: 1 an empty line, 2 no readable
-    time, 3 hour 24, 4 another zone, 5 four words in the request, 6 a size
-    beyond 32 bits, 7 a blank at the end.
+    time, 3 hour 24, 4 a zone that the pattern does not read, 5 four words in
+    the request, 6 a size beyond 32 bits, 7 a blank at the end, 8 another zone.
     """
     eid = F.col("event_id")
     rare = eid % 211
@@ -62,7 +62,7 @@ def log_lines_from_events(events: DataFrame, keep_id: bool = False) -> DataFrame
         F.floor(F.col("value") * 100).cast("bigint").cast("string"))
     text = clf_time_text("ts")
     stamp = (F.when(rare == 2, F.lit("bad")).when(rare == 3, F.concat(F.substring(text, 1, 12), F.lit("24:00:06 -0400")))
-             .when(rare == 4, F.concat(text, F.lit(" +0100"))).otherwise(F.concat(text, F.lit(" -0400"))))
+             .when(rare == 4, F.concat(text, F.lit(" +0100"))).when(rare == 8, F.concat(text, F.lit(" -0100"))).otherwise(F.concat(text, F.lit(" -0400"))))
     line = F.concat(host, F.lit(" - - ["), stamp, F.lit('] "'), request, F.lit('" '), code, F.lit(" "), size,
                     F.when(rare == 7, F.lit(" ")).otherwise(F.lit("")))
     line = F.when(rare == 1, F.lit("")).otherwise(line)

@@ -4,7 +4,9 @@ import pytest
 
 from logscope.operators import breakdowns as BD
 from logscope.operators import distributions as DS
+from logscope.operators import features as FT
 from logscope.operators import filters as FL
+from logscope.operators.service import LogService
 from logscope.plans import catalog
 from logscope.sources.sinks import materialize_requests, read_requests
 from tests.conftest import SF_SMALL
@@ -47,9 +49,21 @@ def test_fused_hourly_counts_single_shuffle(mat):
     assert p.count("Exchange hashpartitioning") == 1
 
 
-def test_top_host_semi_join_is_broadcast(mat):
-    p = plan(BD.top5_host_weekday(mat))
-    assert "BroadcastHashJoin" in p and "LeftSemi" in p
+@pytest.mark.parametrize("op", [BD.top5_host_weekday, BD.top5_host_hour, FL.filter_domains])
+def test_one_scan_and_one_hash_shuffle(mat, op):
+    p = plan(op(mat))
+    assert p.count("FileScan parquet") == 1 and p.count("Exchange hashpartitioning") <= 1
+    assert "Join" not in p and "Expand" not in p
+
+
+def test_host_features_need_no_expand(mat):
+    assert "Expand" not in plan(FT.host_features(mat))
+
+
+def test_service_size_call_reads_the_requests_once(spark, mat):
+    histogram, stats = LogService(mat).content_size_distribution()
+    for df in (histogram, stats):
+        assert "FileScan" not in plan(df)  # both read the checkpointed counts
 
 
 @pytest.mark.parametrize("name", ["status_distribution", "top_endpoints", "size_histogram", "unique_hosts_4xx",

