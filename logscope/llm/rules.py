@@ -101,6 +101,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size("_lines").cast("long").alias("n_lines"),
         _chars(F.col("_text"), r"\p{Lu}").alias("n_upper"))
     measured = _with_repeated_words(counted, [c for c in counted.columns if c != "_w"])
+    # one-element generator: a filter on the ledger is not pushed below it, where
+    # it would work every measurement out anew inside each lambda
+    measured = measured.select(F.explode(F.array(F.struct("*"))).alias("m")).select("m.*")
     bits = reduce(lambda a, b: a.bitwiseOR(b), [
         F.when(F.expr(rule), F.lit(bit(name))).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()])
     return measured.select(*names, *MEASURES, bits.alias("failed_bits"))
