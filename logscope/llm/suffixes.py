@@ -174,6 +174,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     members = stored(rows.join(of_doc, "doc").mapInPandas(
         contexts, "doc long, id long, pos int, gram long, after binary, before binary"), "suffix-members")
+    named = F.xxhash64("after", "before").alias("context")  # with the gram a key of 128 bits, for rows without contexts
     classes = stored(members.groupBy(*CLASS).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("id").alias("name")), "suffix-classes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
     array = classes.repartitionByRange(*CLASS).sortWithinPartitions(*CLASS)
@@ -182,8 +183,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     open_ = compared.where(~F.col("settled")).select("gram").distinct()
     found = compared.where("settled").select(*CLASS, "right", "left", "name").union(
         _exhausted(classes.join(open_, "gram", "left_semi")).select(*CLASS, "right", "left", "name"))
-    reach = found.groupBy(*CLASS).agg(F.max("right").alias("right"), F.max("left").alias("left"), F.min("name").alias("name"))
-    spans = members.join(reach, CLASS).select("doc", "id", "name", (F.col("pos") - F.col("left")).alias("start"),
+    reach = stored(found.groupBy("gram", named).agg(
+        F.max("right").alias("right"), F.max("left").alias("left"), F.min("name").alias("name")), "suffix-reach")
+    placed = members.select("doc", "id", "pos", "gram", named)
+    spans = placed.join(reach, ["gram", "context"]).select("doc", "id", "name", (F.col("pos") - F.col("left")).alias("start"),
                                               (F.col("pos") + GRAM + F.col("right")).alias("end")).distinct()
     order = Window.partitionBy("doc").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
