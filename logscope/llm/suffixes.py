@@ -11,9 +11,10 @@ of its copies, and neighbouring kept suffixes of a copy overlap.
 3. Classes are range-sorted by (gram, words after, words before): the suffix
    array. Each compares itself with its neighbours, and the matches extend to
    the right and, word by word, to the left.
-4. A class that no neighbour settles (or whose neighbour is in another range) has
-   its at most ``SPREAD`` passages of ``MIN_WORDS`` words hashed and grouped
-   over all documents, so no repeat is lost to the order of the array.
+4. Neighbours settle a class if they share all its words on both sides. A gram
+   with any other class has the at most ``SPREAD`` passages of ``MIN_WORDS``
+   words of each of its classes hashed and grouped over all documents, so no
+   repeat is lost to the order of the array.
 5. Spans that overlap or touch in a document are merged.
 
 Exact copies and hot passages are one class with partial counts, and no step
@@ -100,47 +101,51 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 CLASS = ["gram", "after", "before"]
+PLACE = ["gram", "context"]  # a key of 128 bits, for rows without contexts
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Best extension of each class by a neighbour from another document."""
+    """Furthest extension of each class to either side by its neighbours from
+    other documents. Extensions of two neighbours share the gram, so they are
+    one span."""
     last = None
 
-    def out(row: list, settled: bool) -> dict:
-        return dict(zip([*CLASS, "lo", "hi", "name", "right", "left"], row[:8])) | {"settled": settled}
+    def out(row: list) -> dict:
+        full = row[7] == _common(row[1], row[1]) and row[8] == _common(row[2], row[2])
+        return dict(zip([*PLACE, "name", "right", "left"], [row[0], row[6], row[5], row[7], row[8]])) | {"settled": full}
 
     for batch in batches:
         done = []
-        for row in zip(*(batch[c] for c in [*CLASS, "lo", "hi", "name"])):
+        for row in zip(*(batch[c] for c in [*CLASS, "lo", "hi", "name", "context"])):
             row = [*row, 0, 0]
             row[5] = None if pd.isna(row[5]) else int(row[5])
             if row[3] != row[4]:  # equal contexts in two documents
-                row[6], row[7] = _common(row[1], row[1]), _common(row[2], row[2])
+                row[7], row[8] = _common(row[1], row[1]), _common(row[2], row[2])
             if last is not None and last[0] == row[0] and not (last[3] == last[4] == row[3] == row[4]):
                 r, l = _common(last[1], row[1]), _common(last[2], row[2])
-                for one, other in ((last, row), (row, last)):
-                    if r + l >= REACH and r + l > one[6] + one[7]:
-                        one[6], one[7] = r, l
-                        one[5] = min((x for x in (one[5], other[5]) if x is not None), default=None)
+                if r + l >= REACH:
+                    least = min((x for x in (last[5], row[5]) if x is not None), default=None)
+                    for one in (last, row):
+                        one[5], one[7], one[8] = least, max(one[7], r), max(one[8], l)
             if last is not None:
-                done.append(out(last, last[6] + last[7] >= REACH))
+                done.append(out(last))
             last = row
         if done:
             yield pd.DataFrame(done)
     if last is not None:
-        yield pd.DataFrame([out(last, last[6] + last[7] >= REACH)])
+        yield pd.DataFrame([out(last)])
 
 
 def _exhausted(classes: DataFrame) -> DataFrame:
     """Extensions by hashed passages, for all classes of the grams given."""
     at = F.explode(F.sequence(F.lit(0), F.lit(REACH))).alias("l")
-    cut = classes.select(*CLASS, "lo", "hi", "name", at).withColumns({
+    cut = classes.select(*CLASS, "context", "lo", "hi", "name", at).withColumns({
         "b": F.expr("substring(before, 1, 4 * l)"), "a": F.expr(f"substring(after, 1, 4 * ({REACH} - l))")})
     end = F.lit(b"\0\0\0\0")  # hashed words are odd, so only a text's end has four zero bytes at a word's place
     inside = cut.where((F.expr("l = 0") | (F.substring("b", -4, 4) != end)) & (F.expr(f"l = {REACH}") | (F.substring("a", -4, 4) != end)))
-    keyed = inside.withColumn("key", F.xxhash64("gram", "l", "b", "a"))
+    keyed = inside.select(*PLACE, "lo", "hi", "name", "l", F.xxhash64("gram", "l", "b", "a").alias("key"))
     twice = keyed.groupBy("key", "gram").agg(F.min("lo").alias("klo"), F.max("hi").alias("khi"), F.min("name").alias("kname")).where("klo <> khi")
-    return keyed.join(twice, ["key", "gram"]).groupBy(*CLASS).agg(
+    return keyed.select(*PLACE, "key", "l").join(twice.select("key", "gram", "kname"), ["key", "gram"]).groupBy(*PLACE).agg(
         (F.lit(REACH) - F.min("l")).alias("right"), F.max("l").alias("left"), F.min("kname").alias("name"))
 
 
@@ -174,20 +179,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     members = stored(rows.join(of_doc, "doc").mapInPandas(
         contexts, "doc long, id long, pos int, gram long, after binary, before binary"), "suffix-members")
-    named = F.xxhash64("after", "before").alias("context")  # with the gram a key of 128 bits, for rows without contexts
-    classes = stored(members.groupBy(*CLASS).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("id").alias("name")), "suffix-classes")
+    named = F.xxhash64("after", "before").alias("context")
+    classes = stored(members.groupBy(*CLASS).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("id").alias("name"))
+                     .withColumn("context", named), "suffix-classes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
     array = classes.repartitionByRange(*CLASS).sortWithinPartitions(*CLASS)
-    compared = stored(array.mapInPandas(_compared, "gram long, after binary, before binary, lo long, hi long, name long, "
-                                        "right int, left int, settled boolean"), "suffix-compared")
+    compared = stored(array.mapInPandas(_compared, "gram long, context long, name long, right int, left int, settled boolean"), "suffix-compared")
     open_ = compared.where(~F.col("settled")).select("gram").distinct()
-    found = compared.where("settled").select(*CLASS, "right", "left", "name").union(
-        _exhausted(classes.join(open_, "gram", "left_semi")).select(*CLASS, "right", "left", "name"))
-    reach = stored(found.groupBy("gram", named).agg(
+    found = compared.where("settled").select(*PLACE, "right", "left", "name").union(
+        _exhausted(classes.join(open_, "gram", "left_semi")).select(*PLACE, "right", "left", "name"))
+    reach = stored(found.groupBy(*PLACE).agg(
         F.max("right").alias("right"), F.max("left").alias("left"), F.min("name").alias("name")), "suffix-reach")
     placed = members.select("doc", "id", "pos", "gram", named)
-    spans = placed.join(reach, ["gram", "context"]).select("doc", "id", "name", (F.col("pos") - F.col("left")).alias("start"),
-                                              (F.col("pos") + GRAM + F.col("right")).alias("end")).distinct()
+    spans = placed.join(reach, PLACE).select("doc", "id", "name", (F.col("pos") - F.col("left")).alias("start"),
+                                             (F.col("pos") + GRAM + F.col("right")).alias("end")).distinct()
     order = Window.partitionBy("doc").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= before, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -106,3 +106,39 @@ def test_context_words_end_with_the_text():
     after, before = suffixes._around(h, np.array([0, 28]))
     assert suffixes._common(after[1], after[1]) == 0 and suffixes._common(before[0], before[0]) == 0
     assert suffixes._common(after[0], after[0]) == suffixes.REACH == suffixes._common(before[1], before[1])
+
+
+def test_partners_beyond_the_best_neighbour_count(spark):
+    tried = 0
+    while True:  # words such that G is the one kept gram and the array's order is C, A, B
+        rng = random.Random(tried := tried + 1)
+        left, gram, right, x, y = (prose(rng, n, 10 ** 6) for n in (18, 32, 18, 18, 18))
+        texts = {"C": left + gram + x, "A": left + gram + right, "B": y + gram + right}
+        rows = []
+        for k, words in texts.items():
+            h = suffixes._word_hashes(" ".join(words))
+            at, _ = suffixes.kept(h)
+            if list(at) != [18]:
+                break
+            after, before = suffixes._around(h, at)
+            rows.append((after[0], before[0], k))
+        if [k for _, _, k in sorted(rows)] == ["C", "A", "B"]:
+            break
+    docs = {i: " ".join(texts[k]) for i, k in enumerate("CAB")}
+    assert found(spark, docs) == brute(docs) == {0: set(range(50)), 1: set(range(68)), 2: set(range(18, 68))}
+
+
+def test_overlapping_contexts_equal_brute_force(spark):
+    rng = random.Random(3)
+    core = prose(rng, 34)
+    docs = {}
+    for i in range(120):
+        left, right = rng.choice([3, 8, 12, 16]), rng.choice([3, 8, 12, 16])
+        a, b = random.Random(rng.randrange(6)), random.Random(100 + rng.randrange(6))
+        docs[i] = " ".join(prose(rng, 20) + prose(a, 16)[-left:] + core + prose(b, 16)[:right] + prose(rng, 20))
+    assert found(spark, docs) == brute(docs)
+
+
+def test_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert covered(QUERIES["op3_repeated_passages"](spark, SF).collect()) == brute(docs)
