@@ -8,10 +8,14 @@ base match are observed; loopy message passing carries their labels to the
 other mentions in the document. Words that a label reaches with at least
 ``threshold`` become spans too. Base spans always stay.
 
-``fit`` counts word shapes, chain pairs and skip pairs under the labels of the
-base patterns over all documents: partial counts per task, then sums whose
-number is bounded by the shape alphabet. From them it trains node weights
-(multinomial logistic regression) and pair potentials (smoothed log ratios).
+The CRF runs on every text that has such a word, with or without a base match.
+``fit`` counts word shapes with the labels of the words linked to them, chain
+pairs and skip pairs, under the labels of the base patterns over all documents:
+partial counts per task, then sums whose number is bounded by the shape alphabet.
+From them it takes pair potentials (smoothed log ratios) and, given these, node
+weights by pseudo-likelihood: what the linked words explain is not learned again
+as a property of the word. A word without neighbours that is no base match by
+itself has a feature for it: alone, a part of a number is weaker evidence.
 The model is a few kilobytes and is sent to the tasks; texts are read where
 they are, without a shuffle.
 
@@ -153,7 +157,9 @@ def graph(text: str, base: list[Span]) -> Graph:
         elif core in last:
             skip.append((i - 1, i))
         last[core] = i
-    return Graph(found, [shape(text[a:b]) for a, b in found], label,
+    beside = {i for pair in chain for i in pair}
+    alone = ["" if i in beside or base_spans(text[a:b]) else "|alone" for i, (a, b) in enumerate(found)]
+    return Graph(found, [shape(text[a:b]) + x for (a, b), x in zip(found, alone)], label,
                  np.array(chain, dtype=np.int64).reshape(-1, 2), np.array(skip, dtype=np.int64).reshape(-1, 2))
 
 
@@ -213,19 +219,18 @@ def spans(text: str | None, model: Model, threshold: float = 0.95) -> tuple[list
     text = text or ""
     base = base_spans(text)
     added: list[Span] = []
-    if base:  # without an observed entity no label has a mention to come from
-        g = graph(text, base)
-        if (g.label < 0).any():
-            p = model.marginals(g)
-            kind = p.argmax(axis=1)
-            for i in np.flatnonzero((g.label < 0) & (kind != OTHER) & (p.max(axis=1) >= threshold)):
-                a, b = g.words[i]
-                while a < b and not text[a].isalnum() and text[a] != "+":
-                    a += 1
-                while b > a and not text[b - 1].isalnum():
-                    b -= 1
-                if a < b:
-                    added.append((int(kind[i]) - 1, a, b))
+    g = graph(text, base)
+    if (g.label < 0).any():
+        p = model.marginals(g)
+        kind = p.argmax(axis=1)
+        for i in np.flatnonzero((g.label < 0) & (kind != OTHER) & (p.max(axis=1) >= threshold)):
+            a, b = g.words[i]
+            while a < b and not text[a].isalnum() and text[a] != "+":
+                a += 1
+            while b > a and not text[b - 1].isalnum():
+                b -= 1
+            if a < b:
+                added.append((int(kind[i]) - 1, a, b))
     return sorted(base), sorted(base + added)
 
 
@@ -242,9 +247,14 @@ def _counts(texts: pd.Series) -> pd.DataFrame:
         text = text or ""
         g = graph(text, base_spans(text))
         label = np.maximum(g.label, OTHER)
-        n.update(("node", s, int(y), 0) for s, y in zip(g.shapes, label))
-        for name, pairs in (("chain", g.chain), ("skip", g.skip)):
+        linked: list[tuple[list[int], list[int]]] = [([], []) for _ in g.shapes]
+        for side, (name, pairs) in enumerate((("chain", g.chain), ("skip", g.skip))):
             n.update((name, "", int(label[a]), int(label[b])) for a, b in pairs)
+            for a, b in pairs:
+                linked[a][side].append(int(label[b]))
+                linked[b][side].append(int(label[a]))
+        around = ("/".join("".join(map(str, sorted(x))) for x in both) for both in linked)
+        n.update(("node", f"{s}\t{r}", int(y), 0) for s, r, y in zip(g.shapes, around, label))
     return pd.DataFrame([(*k, v) for k, v in n.items()], columns=["what", "shape", "a", "b", "n"])
 
 
@@ -260,7 +270,8 @@ def _potential(rows: list, what: str) -> np.ndarray:
     return np.clip(np.log((c + 4 * expected + 1e-9) / ((c.sum() + 4) * expected)), -4, 4)
 
 
-def _train(shapes: list[str], label: np.ndarray, n: np.ndarray, rounds: int = 400, l2: float = 1e-3) -> dict[str, np.ndarray]:
+def _train(shapes: list[str], label: np.ndarray, n: np.ndarray, given: np.ndarray, rounds: int = 400, l2: float = 1e-3) -> dict[str, np.ndarray]:
+    """Node weights; ``given`` holds the potentials from the labels of linked words."""
     names = sorted({f for s in shapes for f in s.split("|")} | {""})
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(shapes), len(names)))
@@ -269,7 +280,7 @@ def _train(shapes: list[str], label: np.ndarray, n: np.ndarray, rounds: int = 40
     share, y = (n / n.sum())[:, None], np.eye(N_LABELS)[label]
     w, m, v = np.zeros((len(names), N_LABELS)), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam
-        g = x.T @ (share * (_softmax(x @ w) - y)) + l2 * w / len(names)
+        g = x.T @ (share * (_softmax(x @ w + given) - y)) + l2 * w / len(names)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
     return {f: w[i] for f, i in at.items()}
@@ -286,10 +297,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     marked = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     rows = marked.mapInPandas(count, "what string, shape string, a int, b int, n long").groupBy(
         "what", "shape", "a", "b").agg(F.sum("n").alias("n")).orderBy("what", "shape", "a", "b").collect()
+    chain, skip = _potential(rows, "chain"), _potential(rows, "skip")
     nodes = [r for r in rows if r["what"] == "node"]
-    weights = _train([r["shape"] for r in nodes], np.array([r["a"] for r in nodes], dtype=int),
-                     np.array([r["n"] for r in nodes], dtype=float)) if nodes else {}
-    return Model(weights, _potential(rows, "chain"), _potential(rows, "skip"))
+    if not nodes:
+        return Model({}, chain, skip)
+    shapes, around = zip(*(r["shape"].split("\t") for r in nodes))
+    given = np.array([sum((pair[int(y)] for pair, near in zip((chain, skip), r.split("/")) for y in near), np.zeros(N_LABELS)) for r in around])
+    weights = _train(list(shapes), np.array([r["a"] for r in nodes], dtype=int), np.array([r["n"] for r in nodes], dtype=float), given)
+    return Model(weights, chain, skip)
 
 
 # ------------------------------------------------------------ application

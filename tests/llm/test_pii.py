@@ -95,3 +95,16 @@ def test_odd_rows_and_masking(spark):
     assert out[:4] == [None, "", "", "[email] and [ip], ok"] and out[4].endswith("w [email]")
     empty = df.limit(0)
     assert pii.report(empty, pii.fit(empty)).count() == 0
+
+
+def test_labels_depend_on_the_model_and_not_on_another_base_match(spark):
+    import numpy as np
+    flat = np.zeros((pii.N_LABELS, pii.N_LABELS))
+    sure = pii.Model({"digits=7": 9 * np.eye(pii.N_LABELS)[4]}, flat, flat)
+    text = "as said, 555-5412, is it"
+    assert pii.spans(text, sure) == ([], [(3, 9, 17)])
+    assert pii.mask_text(text, sure) == "as said, [phone], is it"
+    mail = " or a.b@c.de"
+    assert pii.spans(text + mail, sure)[1][1:] == pii.spans(text, sure)[1]
+    model = fitted(spark)
+    assert [x for x in pii.spans(text + mail, model)[1] if x[0] != 0] == pii.spans(text, model)[1]
