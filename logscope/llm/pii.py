@@ -46,7 +46,6 @@ from logscope.llm.common import python_workers
 KINDS = ("email", "ip", "card", "phone")
 OTHER = 0  # the label of other words; kind k has label k + 1
 N_LABELS = len(KINDS) + 1
-MAX_ROUNDS, DAMPING = 30, 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -177,7 +176,10 @@ class Model:
         return v
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """Label marginals by loopy sum-product messages."""
+        """Label marginals by loopy sum-product messages, in sweeps forwards and
+        backwards over the text until they rest. A sweep carries a label along a
+        whole chain, whatever its length; a path of n words turns less than n
+        times, so n sweeps bound the loop."""
         potential = np.array([self.node(s) for s in g.shapes])
         seen = np.flatnonzero(g.label >= 0)
         potential[seen] = -40.0
@@ -185,28 +187,26 @@ class Model:
         edges = np.concatenate([g.chain, g.skip])
         if not len(edges):
             return _softmax(potential)
-        pair = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
-        source = np.concatenate([edges[:, 0], edges[:, 1]])
-        target = np.concatenate([edges[:, 1], edges[:, 0]])
-        pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((len(source), N_LABELS))
-        for _ in range(MAX_ROUNDS):
-            belief = potential.copy()
-            np.add.at(belief, target, message)
-            out = _log_sum((belief[source] - message[back])[:, :, None] + pair, axis=1)
-            out -= _log_sum(out, axis=1)[:, None]
-            moved = np.abs(out - message).max()
-            message = DAMPING * message + (1 - DAMPING) * out
-            if moved < 1e-4:
+        pair = [*[np.exp(self.chain)] * len(g.chain), *[np.exp(self.skip)] * len(g.skip)]
+        # message 2e goes forwards over edge e, 2e + 1 backwards
+        message = np.full((2 * len(edges), N_LABELS), 1 / N_LABELS)
+        belief = np.exp(potential - potential.max(axis=1, keepdims=True))
+        ends = edges.tolist()
+        forwards = [(2 * e, *ends[e], pair[e]) for e in sorted(range(len(ends)), key=lambda e: ends[e])]
+        backwards = [(2 * e + 1, *ends[e][::-1], pair[e].T) for e in sorted(range(len(ends)), key=lambda e: ends[e][::-1], reverse=True)]
+        for _ in range(max(2, len(g.words))):
+            moved = 1.0
+            for m, source, target, table in forwards + backwards:
+                out = (belief[source] / message[m ^ 1]) @ table
+                out /= out.sum()
+                step = out / message[m]
+                moved = max(moved, step.max(), 1 / step.min())
+                belief[target] *= step
+                belief[target] /= belief[target].max()
+                message[m] = out
+            if moved < 1 + 1e-4:
                 break
-        np.add.at(potential, target, message)
-        return _softmax(potential)
-
-
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+        return belief / belief.sum(axis=1, keepdims=True)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

@@ -108,3 +108,13 @@ def test_labels_depend_on_the_model_and_not_on_another_base_match(spark):
     assert pii.spans(text + mail, sure)[1][1:] == pii.spans(text, sure)[1]
     model = fitted(spark)
     assert [x for x in pii.spans(text + mail, model)[1] if x[0] != 0] == pii.spans(text, model)[1]
+
+
+def test_labels_reach_the_last_of_many_mentions():
+    import numpy as np
+    near = 4 * np.eye(pii.N_LABELS)
+    sure = pii.Model({}, 0 * near, near)
+    text = "+1 555 555-5412 " + "and some words then 555-5412, " * 200
+    p = sure.marginals(g := pii.graph(text, pii.base_spans(text)))[3:, 4]
+    own = np.exp(near) / np.exp(near).sum(axis=1, keepdims=True)
+    assert len(p) == 200 == len(g.skip) and np.allclose(p, [np.linalg.matrix_power(own, k + 1)[4, 4] for k in range(200)], atol=1e-3)
