@@ -34,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,7 @@ _SPACES = frozenset(" \t\n\x0b\x0c\r")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _MARK = re.compile(r"[0-9@]")
 _NOT_CORE = re.compile(r"[\W_]+")
+_NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGITS = b"0123456789"
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -117,14 +119,14 @@ def words(text: str) -> list[tuple[int, int]]:
 
 def shape(word: str) -> str:
     """Features of a word, each of few values."""
-    digits = _digits(word[:64])
+    digits = _NOT_DIGIT.sub("", word)
     bare = word.strip(".,;:!?\"'()[]#*$%&|<>")
-    letters = sum(c.isalpha() for c in word[:64])
+    letters = sum(1 for _ in islice(filter(str.isalpha, word), 3))
     return "|".join(f"{name}={value}" for name, value in (
         ("at", min(word.count("@"), 2)), ("digits", len(digits) if len(digits) < 20 else 20),
         ("dots", min(bare.count("."), 4)), ("ip", bool(_IP.fullmatch(bare)) and _is_ip(bare)),
         ("luhn", 16 <= len(digits) <= 19 and luhn(digits)), ("plus", word.startswith("+")),
-        ("letters", min(letters, 3)), ("hyphen", "-" in word), ("round", "(" in word), ("equals", "=" in word)))
+        ("letters", letters), ("hyphen", "-" in word), ("round", "(" in word), ("equals", "=" in word)))
 
 
 @dataclass

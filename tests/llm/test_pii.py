@@ -118,3 +118,8 @@ def test_labels_reach_the_last_of_many_mentions():
     p = sure.marginals(g := pii.graph(text, pii.base_spans(text)))[3:, 4]
     own = np.exp(near) / np.exp(near).sum(axis=1, keepdims=True)
     assert len(p) == 200 == len(g.skip) and np.allclose(p, [np.linalg.matrix_power(own, k + 1)[4, 4] for k in range(200)], atol=1e-3)
+
+
+def test_shape_counts_the_whole_word():
+    tail = pii.shape("/" * 70 + "4111111111111111abcd").split("|")
+    assert {"digits=16", "luhn=True", "letters=3"} <= set(tail)
