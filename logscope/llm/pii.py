@@ -3,7 +3,8 @@
 The base patterns find emails, ip addresses, card and phone numbers. The CRF
 then labels the words that hold a digit or an ``@`` (no other word can be one):
 neighbouring words share a chain potential, and equal words, however far
-apart and whatever their punctuation, share a skip potential. Words inside a
+apart and whatever their punctuation, share a skip potential, as do words at
+which numbers with the same last ``SUFFIX`` digits end, however grouped. Words inside a
 base match are observed; loopy message passing carries their labels to the
 other mentions in the document. Words that a label reaches with at least
 ``threshold`` become spans too. Base spans always stay.
@@ -19,8 +20,8 @@ itself has a feature for it: alone, a part of a number is weaker evidence.
 The model is a few kilobytes and is sent to the tasks; texts are read where
 they are, without a shuffle.
 
-Equal words are linked in the order of the text, so a word with k mentions has
-k - 1 skip edges, not k * k. All scans are linear in the length of the text.
+Mentions are linked in the order of the text, so a word or number with k
+mentions has k - 1 skip edges, not k * k. All scans are linear in the length of the text.
 
 Defined results for odd input: a null text counts as empty and stays null when
 masked; ids are carried as they are; repeated rows give repeated rows; other
@@ -47,6 +48,7 @@ from logscope.llm.common import python_workers
 KINDS = ("email", "ip", "card", "phone")
 OTHER = 0  # the label of other words; kind k has label k + 1
 N_LABELS = len(KINDS) + 1
+SUFFIX = 7  # digits that similar numbers end with
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -136,7 +138,7 @@ class Graph:
     shapes: list[str]
     label: np.ndarray  # of the base span that the word touches; -1: none
     chain: np.ndarray  # pairs of neighbours
-    skip: np.ndarray  # pairs of equal words, each with its next mention
+    skip: np.ndarray  # pairs of equal or similar words, each with its next mention
 
 
 def graph(text: str, base: list[Span]) -> Graph:
@@ -150,14 +152,14 @@ def graph(text: str, base: list[Span]) -> Graph:
             label[i] = kind + 1
     chain = [(i, i + 1) for i in range(len(found) - 1) if not text[found[i][1]:found[i + 1][0]].strip(" \t\n\x0b\x0c\r")]
     last: dict[str, int] = {}
-    skip = []
+    skip, run, linked = [], "", {b for _, b in chain}
     for i, (a, b) in enumerate(found):
         core = _NOT_CORE.sub("", text[a:b]).lower()
-        if core in last and last[core] != i - 1:
-            skip.append((last[core], i))
-        elif core in last:
-            skip.append((i - 1, i))
-        last[core] = i
+        digits = _NOT_DIGIT.sub("", core)
+        run = ((run if i in linked else "") + digits)[-SUFFIX:] if len(digits) == len(core) else ""
+        keys = {core, "#" + run} if len(run) == SUFFIX else {core}
+        skip += sorted({(last[k], i) for k in keys if k in last})
+        last.update((k, i) for k in keys)
     beside = {i for pair in chain for i in pair}
     alone = ["" if i in beside or base_spans(text[a:b]) else "|alone" for i, (a, b) in enumerate(found)]
     return Graph(found, [shape(text[a:b]) + x for (a, b), x in zip(found, alone)], label,

@@ -123,3 +123,11 @@ def test_labels_reach_the_last_of_many_mentions():
 def test_shape_counts_the_whole_word():
     tail = pii.shape("/" * 70 + "4111111111111111abcd").split("|")
     assert {"digits=16", "luhn=True", "letters=3"} <= set(tail)
+
+
+def test_other_groupings_of_a_number_are_linked():
+    text = "+1 (535) 555-5412 then 535-555-5412 or 5355555412, also 535 555 5412 and 1 22 333"
+    g = pii.graph(text, pii.base_spans(text))
+    said = [text[a:b] for a, b in g.words]
+    assert {("555-5412", "535-555-5412"), ("535-555-5412", "5355555412,"), ("5355555412,", "5412")} <= {(said[a], said[b]) for a, b in g.skip}
+    assert all(a < b for a, b in g.skip) and len({*map(tuple, g.skip.tolist())}) == len(g.skip)
