@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import bpe, kdtree, linecrf, mixing, pii, rules, sharding, simhash, suffixes, urls
-from logscope.llm.common import table
+from logscope.llm import bpe, kdtree, linecrf, mixing, pii, rules, runs, sharding, simhash, suffixes, urls
+from logscope.llm.common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +140,29 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_repeated_passages")
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Contract of op12: in documents whose hash of the id is divisible by ten, all
+    words from one on repeat the block that starts there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, w = F.floor(h / 10), F.col("_w")
+    n = F.size(w)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    repeated = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))))
+    listed = docs.select("doc_id", "text", F.when(h % 10 == 0, words(F.col("text"))).alias("_w"))
+    return listed.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(_with_planted_runs(table(spark, sf_dir, "documents")), min_words=12)
+    # longest, then first, then shortest: array_max over (length, -start, -period)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    return found.select("doc_id", "runs", "collapsed", best.alias("b")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.s")).alias("start"), F.col("b.n").alias("length"),
+        (-F.col("b.p")).alias("period"), F.floor(1000 * F.col("b.n") / -F.col("b.p")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
