@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import bpe, kdtree, linecrf, mixing, negatives, pii, rules, runs, sharding, simhash, suffixes, urls
+from logscope.llm import bpe, kdtree, langid, linecrf, mixing, negatives, pii, rules, runs, sharding, simhash, suffixes, urls
 from logscope.llm.common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,11 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@register("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = langid.fit(docs.where(~held_out).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
