@@ -17,6 +17,7 @@ from logscope.functions import patterns as P
 from logscope.functions.numeric import round_to
 from logscope.operators import anomalies as AN
 from logscope.operators import breakdowns as BD
+from logscope.operators import changepoints as CP
 from logscope.operators import daily as DY
 from logscope.operators import distributions as DS
 from logscope.operators import features as FT
@@ -1273,3 +1274,65 @@ def _host_forecast_sql(periods: int = 7, z: float = FC.Z80) -> str:
 @register("host_traffic_forecast", _host_forecast_sql())
 def q_host_traffic_forecast(spark, sf):
     return FC.host_traffic_forecast(R(spark, sf))
+
+
+# ---------------------------------------------------------------- forecast with changepoints and seasons
+
+def _changepoint_sql(periods: int, keys: list[str], shape: CP.Shape = CP.Shape(), z: float = FC.Z80) -> str:
+    """The same ridge regression: sums over pairs of basis columns, and an
+    elimination that takes one pivot a step of a recursive query."""
+    k = "".join(f"{c}, " for c in keys) or "one, "
+    kinds, ridge, c = shape.columns(), shape.ridge(), shape.n_changes
+    p = len(kinds)
+    basis = ["CAST(1 AS DOUBLE)", "t", *[f"greatest(t - {s!r}::DOUBLE, 0)" for s in shape.change_at()]]
+    for _, period, order in shape.seasons():
+        for n in range(1, order + 1):
+            angle = f"((day - {period!r}::DOUBLE * floor(day / {period!r}::DOUBLE)) / {period!r}::DOUBLE * {2 * n}::DOUBLE * pi())"
+            basis += [f"CASE WHEN length >= {2 * period!r}::DOUBLE THEN {f}({angle}) ELSE 0 END" for f in ("cos", "sin")]
+    x = "[" + ", ".join(basis) + "]"
+    group = ", ".join(keys) or "one"
+
+    def part(kind: str) -> str:
+        at = [i + 1 for i, name in enumerate(kinds) if name == kind]
+        return f"(list_inner_product(b.x[{at[0]}:{at[-1]}], f.coef[{at[0]}:{at[-1]}]) * scale)"
+
+    source = ", ".join(keys) if keys else "1 AS one"
+    ctes = [
+        f"h AS (SELECT {source}, CAST(time AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y FROM r WHERE time IS NOT NULL GROUP BY ALL)",
+        f"sp AS (SELECT {k}max(ds) AS d1, min(ds) AS d0, CAST(max(ds) - min(ds) AS DOUBLE) AS length, "
+        f"greatest(CAST(max(ds) - min(ds) AS DOUBLE), 1) AS span, max(abs(y)) AS scale, count(*) AS n FROM h GROUP BY {group})",
+        f"dates AS (SELECT {k}ds, y FROM h UNION ALL SELECT {k}CAST(d1 + CAST(i AS INTEGER) AS DATE), NULL FROM sp, range(1, {periods + 1}) t(i))",
+        f"pt AS (SELECT dates.*, d1, scale, span, length, n, CAST(ds - d0 AS DOUBLE) / span AS t, "
+        f"CAST(ds - DATE '1970-01-01' AS DOUBLE) AS day FROM dates JOIN sp USING ({group}))",
+        f"b AS (SELECT {k}ds, y, d1, scale, span, n, {x} AS x FROM pt)",
+        f"aug AS (SELECT {k}list_append(x, y / scale) AS x FROM b WHERE y IS NOT NULL)",
+        f"wt AS (SELECT {ridge!r} AS w)",
+        f"cell AS (SELECT {k}i, j, sum(x[i] * x[j]) + CASE WHEN i = j THEN any_value(w[i]) ELSE 0 END AS v "
+        f"FROM aug, wt, range(1, {p + 1}) a(i), range(1, {p + 2}) c(j) GROUP BY {k}i, j)",
+        f"line AS (SELECT {k}i, list(v ORDER BY j) AS v FROM cell GROUP BY {k}i)",
+        f"el AS (SELECT {k}0 AS step, list(v ORDER BY i) AS m FROM line GROUP BY {group} UNION ALL "
+        f"SELECT {k}step + 1, list_transform(m, lambda l, i: CASE WHEN i = step + 1 "
+        "THEN list_transform(l, lambda a: a / l[step + 1]) ELSE list_transform(list_zip(l, m[step + 1]), "
+        f"lambda ab: ab[1] - l[step + 1] / m[step + 1][step + 1] * ab[2]) END) FROM el WHERE step < {p})",
+        f"f AS (SELECT {k}list_transform(m, lambda l: l[{p + 1}]) AS coef FROM el WHERE step = {p})",
+        f"er AS (SELECT {k}sqrt(sum(pow(b.y / scale - list_inner_product(b.x, f.coef), 2)) / greatest(any_value(n) - 1, 1)) AS sigma "
+        f"FROM b JOIN f USING ({group}) WHERE y IS NOT NULL GROUP BY {group})",
+        f"fc AS (SELECT {k}ds, y, {part('trend')} AS trend, {part('weekly')} AS weekly, "
+        f"{z!r}::DOUBLE * scale * sqrt(sigma * sigma + {2 * c / shape.change_range / 3!r}::DOUBLE * pow(list_sum(list_transform("
+        f"f.coef[3:{2 + c}], lambda v: abs(v))) / {c}, 2) * pow(greatest(CAST(ds - d1 AS DOUBLE), 0) / span, 3)) AS band "
+        f"FROM b JOIN f USING ({group}) JOIN er USING ({group}))",
+    ]
+    out = "".join(f"{key}, " for key in keys)
+    return with_base(f"SELECT {out}ds, y, round(trend + weekly, 6) AS yhat, round(trend, 6) AS trend, round(weekly, 6) AS weekly, "
+                     "round(trend + weekly - band, 6) AS yhat_lower, round(trend + weekly + band, 6) AS yhat_upper FROM fc",
+                     *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("traffic_changepoint_forecast", _changepoint_sql(30, []))
+def q_traffic_changepoint_forecast(spark, sf):
+    return CP.traffic_changepoint_forecast(R(spark, sf))
+
+
+@register("host_changepoint_forecast", _changepoint_sql(7, ["host"]))
+def q_host_changepoint_forecast(spark, sf):
+    return CP.host_changepoint_forecast(R(spark, sf))

@@ -16,10 +16,10 @@ def _cli(*args, timeout=600):
 
 
 def test_cli_list_names_every_query():
-    import __spark_entry__ as E
+    from logscope.plans import catalog
     out = _cli("list").stdout.split("\n")
     names = {line.split()[0] for line in out if line.strip()}
-    assert names == set(E.queries())
+    assert names == set(catalog.QUERIES)
 
 
 def test_cli_run_writes_json(tmp_path):
