@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscope.functions.numeric import round_to
+from logscope.operators.clusters import components
 from logscope.session import checkpointed
 
 # The seven model features, in the reference's order.
@@ -111,16 +111,31 @@ def prepare_ml_features(df: DataFrame, k: int = 3) -> DataFrame:
     return model.transform(x)
 
 
+PCS = ["pc1", "pc2", "pc3"]
+
+
+def host_components(df: DataFrame, k: int = 3) -> DataFrame:
+    """Per host the seven standardised features (under their names) and the ``k``
+    principal components ``pc1``... of them: one aggregate over the checkpointed
+    feature table, then a narrow projection of it."""
+    x = checkpointed(ml_ready(host_features_derived(df)))
+    fitted = components(x, FEATURES, k)
+    return x.select("host", *[z.alias(c) for z, c in zip(fitted.scaled(), FEATURES)],
+                    *[pc.alias(f"pc{i + 1}") for i, pc in enumerate(fitted.projected())])
+
+
 def host_pca(df: DataFrame, k: int = 3, digits: int = 6) -> DataFrame:
     """The ``k`` principal components per host, the largest loading of each
     positive."""
-    x = fixed_layout(ml_ready(host_features_derived(df)))
-    model = pca_pipeline(k).fit(x)
-    loadings = model.stages[-1].pc.toArray()  # 7 x k
-    arr = vector_to_array("features")
-    signs = [1.0 if max(loadings[:, i], key=abs) > 0 else -1.0 for i in range(k)]
-    return model.transform(x).select("host", *[
-        round_to(arr[i] * F.lit(signs[i]), digits).alias(f"pc{i + 1}") for i in range(k)])
+    return host_components(df, k).select("host", *[round_to(F.col(f"pc{i + 1}"), digits).alias(f"pc{i + 1}") for i in range(k)])
+
+
+def host_pca_variance(df: DataFrame, k: int = 3, digits: int = 6) -> DataFrame:
+    """(component, variance): the variance that each component keeps."""
+    x = checkpointed(ml_ready(host_features_derived(df)))
+    kept = components(x, FEATURES, k).variance
+    return x.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(kept)], "component int, variance double").select(
+        "component", round_to(F.col("variance"), digits).alias("variance"))
 
 
 def pca_facts(components: DataFrame, k: int = 3) -> DataFrame:

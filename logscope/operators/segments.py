@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from logscope.functions import patterns as P
 from logscope.functions.numeric import round_to
+from logscope.operators.clusters import evaluation, labelled
 from logscope.operators.daily import avg_daily_requests_per_host
-from logscope.operators.features import FEATURES, prepare_ml_features
+from logscope.operators.features import FEATURES, PCS, host_components, host_features, prepare_ml_features
 from logscope.session import checkpointed
 
 DAY_FEATURES = ["avg_reqs", "total_reqs", "total_hosts"]
@@ -38,25 +39,29 @@ def train_kmeans(features: DataFrame, k: int = 4, seed: int = 42):
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="segment").fit(features)
 
 
-def host_segments(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    feats = host_ml_features(df)
-    model = train_kmeans(feats, k, seed)
-    return model.transform(feats).select("host", "segment")
+def labelled_hosts(df: DataFrame, k: int = 4) -> DataFrame:
+    """Hosts with standardised features, components and the ``segment`` that k-means
+    on the components gives them (M4): farthest-first starts, Lloyd rounds."""
+    return labelled(checkpointed(host_components(df)), PCS, "host", k)
+
+
+def host_segments(df: DataFrame, k: int = 4) -> DataFrame:
+    return labelled_hosts(df, k).select("host", "segment")
 
 
-def segment_evaluation(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
+def segment_evaluation(df: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
     """Silhouette (squared Euclidean, Spark's default), WSSSE and size per
-    segment (M5). ``computeCost`` no longer exists; the training cost is
-    the same within-cluster sum of squares."""
-    feats = host_ml_features(df)
-    model = train_kmeans(feats, k, seed)
-    pred = model.transform(feats)
-    sil = ClusteringEvaluator(predictionCol="segment", featuresCol="features",
-                              metricName="silhouette").evaluate(pred)
-    wssse = float(model.summary.trainingCost)
-    return (pred.groupBy("segment").agg(F.count(F.lit(1)).alias("size"))
-            .select("segment", "size", F.lit(sil).alias("silhouette"), F.lit(wssse).alias("wssse"))
-            .orderBy("segment"))
+    segment (M5), in closed form."""
+    out = evaluation(labelled_hosts(df, k), PCS)
+    return out.select("segment", "size", *[round_to(F.col(c), digits).alias(c) for c in ("silhouette", "wssse")])
+
+
+def host_label_evaluation(df: DataFrame, digits: int = 6) -> DataFrame:
+    """The same measures over the request-volume labels: any labelling will do."""
+    rows = checkpointed(host_components(df)).join(
+        host_features(df).select("host", host_volume_label().alias("segment")), "host")
+    out = evaluation(rows, PCS)
+    return out.select("segment", "size", *[round_to(F.col(c), digits).alias(c) for c in ("silhouette", "wssse")])
 
 
 def _segment_centers(pred: DataFrame) -> DataFrame:
@@ -65,11 +70,9 @@ def _segment_centers(pred: DataFrame) -> DataFrame:
             .groupBy("segment").agg(*[F.avg(F.col("a")[i]).alias(c) for i, c in enumerate(FEATURES)]))
 
 
-def segment_centers(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
+def segment_centers(df: DataFrame, k: int = 4) -> DataFrame:
     """Centre of each segment in the seven named (standardised) features (M6)."""
-    feats = host_ml_features(df)
-    pred = train_kmeans(feats, k, seed).transform(feats)
-    return _segment_centers(pred).orderBy("segment")
+    return labelled_hosts(df, k).groupBy("segment").agg(*[F.avg(c).alias(c) for c in FEATURES]).orderBy("segment")
 
 
 def host_volume_label(total_requests: str = "total_requests") -> Column:
@@ -87,9 +90,9 @@ def host_label_centers(df: DataFrame, digits: int = 6) -> DataFrame:
     return centers.select("segment", *[round_to(F.col(c), digits).alias(c) for c in FEATURES])
 
 
-def feature_importance(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
+def feature_importance(df: DataFrame, k: int = 4) -> DataFrame:
     """Mean absolute centre value per feature, largest first (M7)."""
-    return importance_of(segment_centers(df, k, seed), FEATURES)
+    return importance_of(segment_centers(df, k), FEATURES)
 
 
 def importance_of(centers: DataFrame, cols: list[str]) -> DataFrame:
@@ -115,8 +118,8 @@ def cluster_separation(centers: DataFrame, cols: list[str], k: int, key: str = "
                         d.alias("distance")).orderBy("segment_i", "segment_j")
 
 
-def host_cluster_separation(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    return cluster_separation(segment_centers(df, k, seed), FEATURES, k)
+def host_cluster_separation(df: DataFrame, k: int = 4) -> DataFrame:
+    return cluster_separation(checkpointed(segment_centers(df, k)), FEATURES, k)
 
 
 def model_comparison(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
@@ -178,10 +181,14 @@ def perform_day_clustering(df: DataFrame, k: int = 4, seed: int = 42):
     return model, model.transform(vec)
 
 
-def day_segments(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """Days clustered on (avg_reqs, total_reqs, total_hosts), unscaled."""
-    _, pred = perform_day_clustering(df, k, seed)
-    return pred.select("day", *DAY_FEATURES, "segment").orderBy("day")
+def labelled_days(df: DataFrame, k: int = 4) -> DataFrame:
+    """Days with the ``segment`` of k-means on (avg_reqs, total_reqs, total_hosts),
+    unscaled as in the study (M13)."""
+    return labelled(day_table(df), DAY_FEATURES, "day", k)
+
+
+def day_segments(df: DataFrame, k: int = 4) -> DataFrame:
+    return labelled_days(df, k).select("day", *DAY_FEATURES, "segment").orderBy("day")
 
 
 def _day_silhouette(pred: DataFrame) -> DataFrame:
@@ -206,30 +213,31 @@ def _day_silhouette(pred: DataFrame) -> DataFrame:
     return each.groupBy("segment").agg(F.avg("s").alias("silhouette"), overall.alias("overall_silhouette")).orderBy("segment")
 
 
-def day_silhouette(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
+def day_silhouette(df: DataFrame, k: int = 4) -> DataFrame:
     """Overall and per-segment Euclidean silhouette of the day clustering.
 
     The day table has at most 31 rows, so at most 31 x 31 distances exist.
     """
-    _, pred = perform_day_clustering(df, k, seed)
-    return _day_silhouette(pred)
+    return _day_silhouette(labelled_days(df, k))
 
 
-def day_segment_sizes(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
+def day_segment_sizes(df: DataFrame, k: int = 4) -> DataFrame:
     """Days per segment."""
-    _, pred = perform_day_clustering(df, k, seed)
-    return pred.groupBy("segment").agg(F.count(F.lit(1)).alias("count")).orderBy("segment")
+    return labelled_days(df, k).groupBy("segment").agg(F.count(F.lit(1)).alias("count")).orderBy("segment")
 
 
-def day_summary(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """Segments used, largest segment, silhouette and WSSSE."""
-    model, pred = perform_day_clustering(df, k, seed)
-    sil = _day_silhouette(pred).select(F.first("overall_silhouette").alias("silhouette_score"))
-    sizes = pred.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+def _summary(lab: DataFrame) -> DataFrame:
+    """Segments used, largest segment, overall silhouette and WSSSE of labelled days."""
+    sizes = lab.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
     summ = sizes.agg(F.count(F.lit(1)).alias("total_segments"), F.max("n").alias("largest_segment"))
-    return (summ.select("total_segments", "largest_segment",
-                        sil.select("silhouette_score").scalar().alias("silhouette_score"),
-                        F.lit(float(model.summary.trainingCost)).alias("wssse")))
+    sil = _day_silhouette(lab).select(F.first("overall_silhouette")).scalar()
+    cost = wssse(lab, DAY_FEATURES).select("wssse").scalar()
+    return summ.select("total_segments", "largest_segment", sil.alias("silhouette_score"), cost.alias("wssse"))
+
+
+def day_summary(df: DataFrame, k: int = 4) -> DataFrame:
+    """Segments used, largest segment, silhouette and WSSSE."""
+    return _summary(labelled_days(df, k))
 
 
 def profile_segments(labelled: DataFrame, digits: int = 6) -> DataFrame:
@@ -256,9 +264,8 @@ def profile_segments(labelled: DataFrame, digits: int = 6) -> DataFrame:
                           kind.alias("type")).orderBy("segment")
 
 
-def segment_profiles(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    _, pred = perform_day_clustering(df, k, seed)
-    return profile_segments(pred.select("day", *DAY_FEATURES, "segment"))
+def segment_profiles(df: DataFrame, k: int = 4) -> DataFrame:
+    return profile_segments(labelled_days(df, k))
 
 
 def quartile_day_labels(df: DataFrame, k: int = 4) -> DataFrame:
@@ -305,13 +312,8 @@ def wssse(labelled: DataFrame, cols: list[str]) -> DataFrame:
 def day_label_summary(df: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
     """Summary (M16) of the quartile day labels: segments, largest segment,
     overall silhouette and WSSSE."""
-    lab = quartile_day_labels(df, k)
-    sizes = lab.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
-    summ = sizes.agg(F.count(F.lit(1)).alias("total_segments"), F.max("n").alias("largest_segment"))
-    sil = _day_silhouette(lab).select(F.first("overall_silhouette")).scalar()
-    cost = wssse(lab, DAY_FEATURES).select("wssse").scalar()
-    return summ.select("total_segments", "largest_segment", round_to(sil, digits).alias("silhouette_score"),
-                       round_to(cost, digits).alias("wssse"))
+    out = _summary(quartile_day_labels(df, k))
+    return out.select("total_segments", "largest_segment", *[round_to(F.col(c), digits).alias(c) for c in ("silhouette_score", "wssse")])
 
 
 def segment_profile_rule(df: DataFrame, k: int = 4) -> DataFrame:

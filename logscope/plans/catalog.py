@@ -809,34 +809,128 @@ def q_host_features_scaled(spark, sf):
     return FT.host_features_scaled(R(spark, sf))
 
 
-@register("host_pca")
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _pca_ctes(k: int = 3) -> list[str]:
+    """CTEs ending in ``p(key, x, z)``: components and z-scores of each host. An
+    eigenvector is what repeated squaring of the correlation matrix converges to;
+    it is then taken out of the matrix, and the next one follows."""
+    d = len(FT.FEATURES)
+    ready = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE) AS {c}" for c in FT.FEATURES)
+    z = ", ".join(f"CASE WHEN stddev_samp({c}) OVER () = 0 THEN 0.0::DOUBLE ELSE ({c} - avg({c}) OVER ()) / "
+                  f"stddev_samp({c}) OVER () END" for c in FT.FEATURES)
+    rows = ", ".join("[" + ", ".join(f"covar_samp(z[{i}], z[{j}])" for j in range(1, d + 1)) + "]" for i in range(1, d + 1))
+    ctes = [_HOST_FEATURES_CTE,
+            f"fx AS (SELECT host, {ready} FROM (SELECT *, {_DERIVED} FROM hf))",
+            f"fz AS MATERIALIZED (SELECT host, [{z}] AS z FROM fx)",
+            f"m1 AS MATERIALIZED (SELECT [{rows}] AS m FROM fz)"]
+    for c in range(1, k + 1):
+        diag = f"list_transform(range(1, {d + 1}), lambda i: m[i][i])"
+        ctes += [
+            f"sq{c} AS (SELECT 0 AS s, m FROM m{c} UNION ALL SELECT s + 1, list_transform(n, lambda r: list_transform(r, lambda a: a / "
+            f"list_sum(list_transform(range(1, {d + 1}), lambda i: n[i][i])))) FROM (SELECT s, list_transform(m, lambda r: "
+            f"list_transform(m, lambda q: list_inner_product(r, q))) AS n FROM sq{c} WHERE s < 40))",
+            f"v{c} AS MATERIALIZED (SELECT list_transform(m[j], lambda a: a / sqrt(m[j][j])) AS v FROM "
+            f"(SELECT m, list_position({diag}, list_max({diag})) AS j FROM sq{c} WHERE s = 40))",
+            f"l{c} AS MATERIALIZED (SELECT v, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM m{c}, v{c})",
+            f"m{c + 1} AS MATERIALIZED (SELECT list_transform(m, lambda r, i: list_transform(r, lambda a, j: a - l * v[i] * v[j])) AS m "
+            f"FROM m{c}, l{c})"]
+    pcs = ", ".join(f"list_inner_product(z, v{c}.v)" for c in range(1, k + 1))
+    return ctes + [f"p AS MATERIALIZED (SELECT host AS key, [{pcs}] AS x, z FROM fz, {', '.join(f'v{c}' for c in range(1, k + 1))})"]
+
+
+def _kmeans_ctes(d: int, k: int = 4, rounds: int = 20) -> list[str]:
+    """CTEs from ``p(key, x, ...)`` to ``lab``, its rows with ``segment``."""
+    def sq(q: str) -> str:
+        return f"list_sum(list_transform(list_zip(x, {q}), lambda ab: (ab[1] - ab[2]) * (ab[1] - ab[2])))"
+    near = f"list_transform(c, lambda q: {sq('q')})"
+    means = ", ".join(f"avg(x[{i}])" for i in range(1, d + 1))
+    return [
+        "ff AS (SELECT 1 AS n, [x] AS c FROM (SELECT x FROM p ORDER BY list_inner_product(x, x) DESC, key LIMIT 1) UNION ALL "
+        "SELECT any_value(n) + 1, list_append(any_value(c), first(x ORDER BY far DESC, key)) "
+        f"FROM (SELECT n, c, x, key, list_min({near}) AS far FROM ff, p WHERE n < {k}) HAVING count(*) > 0 AND max(far) > 0)",
+        "ll AS (SELECT 0 AS r, c FROM ff WHERE n = (SELECT max(n) FROM ff) UNION ALL "
+        "SELECT r + 1, list_transform(c, lambda q, i: coalesce(found[i], q)) FROM (SELECT r, c, map_from_entries(list((s, mean))) AS found "
+        f"FROM (SELECT r, c, list_position(near, list_min(near)) AS s, [{means}] AS mean FROM "
+        f"(SELECT r, c, x, {near} AS near FROM ll, p WHERE r < {rounds}) GROUP BY ALL) GROUP BY r, c))",
+        f"lab AS MATERIALIZED (SELECT *, CAST(list_position(near, list_min(near)) - 1 AS INTEGER) AS segment FROM "
+        f"(SELECT p.*, {near} AS near FROM p, (SELECT c FROM ll WHERE r = {rounds})))"]
+
+
+_HOST_LABELS = [*_pca_ctes(), *_kmeans_ctes(3)]
+_HOST_CENTERS = "c AS (SELECT segment, " + ", ".join(f"avg(z[{i}]) AS {n}" for i, n in enumerate(FT.FEATURES, 1)) + " FROM lab GROUP BY segment)"
+
+
+@register("host_pca", _recursive(with_base(
+    "SELECT key AS host, round(x[1], 6) AS pc1, round(x[2], 6) AS pc2, round(x[3], 6) AS pc3 FROM p", *_pca_ctes())))
 def q_host_pca(spark, sf):
     return FT.host_pca(R(spark, sf))
 
 
-@register("host_segments")
+@register("host_pca_variance", _recursive(with_base(
+    " UNION ALL ".join(f"SELECT CAST({c} AS INTEGER) AS component, round(l, 6) AS variance FROM l{c}" for c in (1, 2, 3)), *_pca_ctes())))
+def q_host_pca_variance(spark, sf):
+    """Variance of each component: the largest eigenvalues."""
+    return FT.host_pca_variance(R(spark, sf))
+
+
+@register("host_segments", _recursive(with_base("SELECT key AS host, segment FROM lab", *_HOST_LABELS)))
 def q_host_segments(spark, sf):
     return SG.host_segments(R(spark, sf))
 
 
-@register("segment_evaluation")
+def _silhouette_sql(points: str = "lab", d: int = 3) -> list[str]:
+    """CTEs ending in ``si(segment, s)`` from all pairs of points."""
+    gap = "list_sum(list_transform(list_zip(a.x, b.x), lambda ab: (ab[1] - ab[2]) * (ab[1] - ab[2])))"
+    return [f"pw AS (SELECT a.key, a.segment, b.segment AS other, avg({gap}) AS far FROM {points} a JOIN {points} b ON a.key <> b.key "
+            "GROUP BY ALL)",
+            "sides AS (SELECT key, segment, max(CASE WHEN other = segment THEN far END) AS a, min(CASE WHEN other <> segment THEN far END) "
+            "AS b FROM pw GROUP BY ALL)",
+            "si AS (SELECT segment, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s "
+            "FROM sides)"]
+
+
+def _evaluation_sql(ctes: list[str], d: int = 3) -> str:
+    spread = " + ".join(f"var_pop(x[{i}])" for i in range(1, d + 1))
+    return _recursive(with_base(
+        "SELECT segment, size, round((SELECT avg(s) FROM si), 6) AS silhouette, round((SELECT sum(v * size) FROM g), 6) AS wssse FROM g",
+        *ctes, *_silhouette_sql(), f"g AS (SELECT segment, count(*) AS size, {spread} AS v FROM lab GROUP BY segment)"))
+
+
+@register("segment_evaluation", _evaluation_sql(_HOST_LABELS))
 def q_segment_evaluation(spark, sf):
     return SG.segment_evaluation(R(spark, sf))
 
 
-@register("segment_centers")
+_VOLUME_LABELS = [*_pca_ctes(), "lab AS (SELECT key, x, CASE WHEN total_requests < 10 THEN 0 WHEN total_requests < 100 THEN 1 "
+                  "WHEN total_requests < 1000 THEN 2 ELSE 3 END AS segment FROM p JOIN hf ON p.key = hf.host)"]
+
+
+@register("host_label_evaluation", _evaluation_sql(_VOLUME_LABELS))
+def q_host_label_evaluation(spark, sf):
+    """M5 over the request-volume labels of the hosts."""
+    return SG.host_label_evaluation(R(spark, sf))
+
+
+@register("segment_centers", _recursive(with_base("SELECT segment, " + ", ".join(
+    f"round({n}, 6) AS {n}" for n in FT.FEATURES) + " FROM c", *_HOST_LABELS, _HOST_CENTERS)))
 def q_segment_centers(spark, sf):
-    return SG.segment_centers(R(spark, sf))
+    return _round_cols(SG.segment_centers(R(spark, sf)), FT.FEATURES)
 
 
-@register("feature_importance")
+@register("feature_importance", _recursive(with_base(" UNION ALL ".join(
+    f"SELECT '{n}' AS feature, round(avg(abs({n})), 6) AS importance FROM c" for n in FT.FEATURES), *_HOST_LABELS, _HOST_CENTERS)))
 def q_feature_importance(spark, sf):
-    return SG.feature_importance(R(spark, sf))
+    return _round_cols(SG.feature_importance(R(spark, sf)), ["importance"])
 
 
-@register("cluster_separation")
+@register("cluster_separation", _recursive(with_base(
+    "SELECT a.segment AS segment_i, b.segment AS segment_j, round(sqrt(" + " + ".join(
+        f"(a.{n} - b.{n}) * (a.{n} - b.{n})" for n in FT.FEATURES) + "), 6) AS distance FROM c a, c b", *_HOST_LABELS, _HOST_CENTERS)))
 def q_cluster_separation(spark, sf):
-    return SG.host_cluster_separation(R(spark, sf))
+    return _round_cols(SG.host_cluster_separation(R(spark, sf)), ["distance"])
 
 
 @register("model_comparison")
@@ -874,45 +968,75 @@ def q_traffic_forecast(spark, sf):
     return FC.traffic_forecast(R(spark, sf))
 
 
-@register("day_segments")
+def _profile_sql() -> tuple[str, list[str]]:
+    """Body and CTEs of the profile rule over ``lab``."""
+    f = P.PROFILE_FACTOR
+    ctes = ["c AS (SELECT segment, count(*) AS size, avg(avg_reqs) AS avg_requests, "
+            "avg(CAST(total_reqs AS DOUBLE)) AS total_requests, avg(CAST(total_hosts AS DOUBLE)) AS unique_hosts "
+            "FROM lab GROUP BY segment)",
+            "m AS (SELECT avg(avg_requests) AS ma, avg(unique_hosts) AS mh, avg(total_requests) AS mt FROM c)"]
+    kind = (f"CASE WHEN avg_requests > ma * {f} THEN {sql_str(P.PROFILE_HIGH_TRAFFIC)} "
+            f"WHEN unique_hosts > mh * {f} THEN {sql_str(P.PROFILE_HIGH_USER)} "
+            f"WHEN total_requests > mt * {f} THEN {sql_str(P.PROFILE_PEAK)} ELSE {sql_str(P.PROFILE_REGULAR)} END")
+    return (f"SELECT CAST(segment AS INTEGER) AS segment, size, round(avg_requests, 6) AS avg_requests, "
+            f"round(total_requests, 6) AS total_requests, round(unique_hosts, 6) AS unique_hosts, "
+            f"{kind} AS type FROM c, m"), ctes
+
+
+def _profile_rule_sql(k: int = 4) -> str:
+    body, ctes = _profile_sql()
+    return with_base(body, _DAY_TABLE_CTE, f"lab AS (SELECT *, ntile({k}) OVER (ORDER BY total_reqs, day) - 1 AS segment FROM d)", *ctes)
+
+
+_DAY_LABELS = [_DAY_TABLE_CTE, "p AS MATERIALIZED (SELECT day AS key, [avg_reqs, CAST(total_reqs AS DOUBLE), CAST(total_hosts AS DOUBLE)] "
+               "AS x, d.* FROM d)", *_kmeans_ctes(3)]
+
+
+@register("day_segments", _recursive(with_base("SELECT day, avg_reqs, total_reqs, total_hosts, segment FROM lab", *_DAY_LABELS)))
 def q_day_segments(spark, sf):
     return SG.day_segments(R(spark, sf))
 
 
-@register("day_silhouette")
+_DAY_PAIRS = "list_distance(x.x, y.x)"
+
+
+def _labelled_silhouette_ctes() -> list[str]:
+    """CTEs ending in ``s(segment, s)`` over ``lab``: plain Euclidean, by pairs."""
+    return [f"pd AS (SELECT x.key AS i, x.segment AS si, y.segment AS sj, avg({_DAY_PAIRS}) AS md FROM lab x JOIN lab y ON x.key <> y.key "
+            "GROUP BY ALL)",
+            "ab AS (SELECT i, max(CASE WHEN sj = si THEN md END) AS a, min(CASE WHEN sj <> si THEN md END) AS b FROM pd GROUP BY i)",
+            "s AS (SELECT lab.segment, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) <= 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s "
+            "FROM lab LEFT JOIN ab ON lab.key = ab.i)"]
+
+
+@register("day_silhouette", _recursive(with_base(
+    "SELECT segment, round(avg(s), 6) AS silhouette, round((SELECT avg(s) FROM s), 6) AS overall_silhouette FROM s GROUP BY segment",
+    *_DAY_LABELS, *_labelled_silhouette_ctes())))
 def q_day_silhouette(spark, sf):
-    return SG.day_silhouette(R(spark, sf))
+    return _round_cols(SG.day_silhouette(R(spark, sf)), ["silhouette", "overall_silhouette"])
 
 
-@register("day_segment_sizes")
+@register("day_segment_sizes", _recursive(with_base("SELECT segment, count(*) AS count FROM lab GROUP BY segment", *_DAY_LABELS)))
 def q_day_segment_sizes(spark, sf):
     return SG.day_segment_sizes(R(spark, sf))
 
 
-@register("day_summary")
+@register("day_summary", _recursive(with_base(
+    "SELECT (SELECT count(DISTINCT segment) FROM lab) AS total_segments, "
+    "(SELECT max(n) FROM (SELECT count(*) AS n FROM lab GROUP BY segment)) AS largest_segment, "
+    "round((SELECT avg(s) FROM s), 6) AS silhouette_score, round((SELECT sum(v) FROM (SELECT count(*) * "
+    "(var_pop(x[1]) + var_pop(x[2]) + var_pop(x[3])) AS v FROM lab GROUP BY segment)), 6) AS wssse",
+    *_DAY_LABELS, *_labelled_silhouette_ctes())))
 def q_day_summary(spark, sf):
-    return SG.day_summary(R(spark, sf))
+    return _round_cols(SG.day_summary(R(spark, sf)), ["silhouette_score", "wssse"])
 
 
-@register("segment_profiles")
-def q_segment_profiles(spark, sf):
-    return SG.segment_profiles(R(spark, sf))
+_PROFILE_BODY, _PROFILE_CTES = _profile_sql()
 
 
-def _profile_rule_sql(k: int = 4) -> str:
-    f = P.PROFILE_FACTOR
-    ctes = [_DAY_TABLE_CTE,
-            f"lab AS (SELECT *, ntile({k}) OVER (ORDER BY total_reqs, day) - 1 AS segment FROM d)",
-            "c AS (SELECT segment, count(*) AS size, avg(avg_reqs) AS avg_requests, "
-            "avg(CAST(total_reqs AS DOUBLE)) AS total_requests, avg(CAST(total_hosts AS DOUBLE)) AS unique_hosts "
-            "FROM lab GROUP BY segment)",
-            "m AS (SELECT avg(avg_requests) AS ma, avg(unique_hosts) AS mh, avg(total_requests) AS mt FROM c)"]
-    kind = (f"CASE WHEN avg_requests > ma * {f} THEN {sql_str(P.PROFILE_HIGH_TRAFFIC)} "
-            f"WHEN unique_hosts > mh * {f} THEN {sql_str(P.PROFILE_HIGH_USER)} "
-            f"WHEN total_requests > mt * {f} THEN {sql_str(P.PROFILE_PEAK)} ELSE {sql_str(P.PROFILE_REGULAR)} END")
-    return with_base(f"SELECT CAST(segment AS INTEGER) AS segment, size, round(avg_requests, 6) AS avg_requests, "
-                     f"round(total_requests, 6) AS total_requests, round(unique_hosts, 6) AS unique_hosts, "
-                     f"{kind} AS type FROM c, m", *ctes)
+@register("segment_profiles", _recursive(with_base(_PROFILE_BODY, *_DAY_LABELS, *_PROFILE_CTES)))
+def q_segment_profiles(spark, sf):
+    return SG.segment_profiles(R(spark, sf))
 
 
 @register("segment_profile_rule", _profile_rule_sql())
