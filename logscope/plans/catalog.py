@@ -24,6 +24,7 @@ from logscope.operators import features as FT
 from logscope.operators import forecast as FC
 from logscope.operators import filters as FL
 from logscope.operators import quality as Q
+from logscope.operators import rollups as RU
 from logscope.operators import segments as SG
 from logscope.operators import sizes as SZ
 from logscope.operators import table as TB
@@ -1460,3 +1461,80 @@ def q_traffic_changepoint_forecast(spark, sf):
 @register("host_changepoint_forecast", _changepoint_sql(7, ["host"]))
 def q_host_changepoint_forecast(spark, sf):
     return CP.host_changepoint_forecast(R(spark, sf))
+
+
+# ---------------------------------------------------------------- windows and distinct counts from hourly rollups
+
+# ends inside an hour, so both cut hours come from the requests
+ROLLUP_START, ROLLUP_END = "2024-01-05 06:10:30", "2024-01-20 18:29:59"
+_CUT = f"time >= TIMESTAMP '{ROLLUP_START}' AND time <= TIMESTAMP '{ROLLUP_END}'"
+
+
+def _rollups(spark, sf, *names: str) -> RU.Rollups:
+    return RU.Rollups(spark, R(spark, sf), shared_path(spark, "rollups")).build(names)
+
+
+@register("rollup_status_distribution", with_base(
+    f"SELECT {status_category_sql()} AS status_category, count(*) AS count FROM r WHERE {_CUT} "
+    f"AND method IN ({_in_list(SERVICE_METHODS)}) GROUP BY 1"))
+def q_rollup_status_distribution(spark, sf):
+    return _rollups(spark, sf, "classes").status_distribution(ROLLUP_START, ROLLUP_END, SERVICE_METHODS)
+
+
+@register("rollup_method_distribution", with_base("SELECT method, count(*) AS count FROM r GROUP BY method"))
+def q_rollup_method_distribution(spark, sf):
+    """No bounds: all cells, that of the requests without time included."""
+    return _rollups(spark, sf, "classes").method_distribution()
+
+
+@register("rollup_top_endpoints", _top_sql("endpoint", 20, _CUT + f" AND method IN ({_in_list(SERVICE_METHODS)})"))
+def q_rollup_top_endpoints(spark, sf):
+    return _rollups(spark, sf, "endpoints").top_endpoints(20, ROLLUP_START, ROLLUP_END, SERVICE_METHODS)
+
+
+@register("rollup_host_frequency", _top_sql("host", 20, _CUT))
+def q_rollup_host_frequency(spark, sf):
+    return _rollups(spark, sf, "hosts").host_frequency(20, ROLLUP_START, ROLLUP_END)
+
+
+@register("rollup_size_stats", with_base(
+    "SELECT round(avg(CAST(content_size AS DOUBLE) / 1024.0::DOUBLE), 6) AS mean_kb, median(content_size) / 1024.0::DOUBLE AS median_kb, "
+    f"max(content_size) / 1024.0::DOUBLE AS max_kb, min(content_size) / 1024.0::DOUBLE AS min_kb FROM r WHERE {_CUT}"))
+def q_rollup_size_stats(spark, sf):
+    return _rollups(spark, sf, "sizes").content_size_distribution(ROLLUP_START, ROLLUP_END)[1]
+
+
+@register("rollup_hourly_traffic", with_base(f"SELECT {hour_sql()} AS hour, count(*) AS count FROM r WHERE {_CUT} GROUP BY 1"))
+def q_rollup_hourly_traffic(spark, sf):
+    return _rollups(spark, sf, "classes").traffic_pattern("hourly", ROLLUP_START, ROLLUP_END)
+
+
+@register("rollup_daily_traffic", with_base(
+    f"SELECT {weekday_name_sql()} AS day, count(*) AS count FROM r WHERE time IS NOT NULL AND time >= TIMESTAMP '{ROLLUP_START}' GROUP BY 1"))
+def q_rollup_daily_traffic(spark, sf):
+    return _rollups(spark, sf, "classes").traffic_pattern("daily", ROLLUP_START)
+
+
+@register("rollup_statistics", with_base(_STATS_BODY + f" WHERE {_CUT}"))
+def q_rollup_statistics(spark, sf):
+    return _rollups(spark, sf, "classes", "host_sets").statistics(ROLLUP_START, ROLLUP_END)
+
+
+@register("rollup_unique_hosts", with_base("SELECT count(DISTINCT host) AS unique_hosts FROM r"))
+def q_rollup_unique_hosts(spark, sf):
+    return _rollups(spark, sf, "host_sets").unique_hosts()
+
+
+@register("rollup_daily_unique_hosts", with_base(f"SELECT {day_sql()} AS day, count(DISTINCT host) AS total_hosts FROM r GROUP BY 1"))
+def q_rollup_daily_unique_hosts(spark, sf):
+    return _rollups(spark, sf, "host_sets").daily_unique_hosts()
+
+
+@register("rollup_unique_hosts_4xx", _unique_sql("host", "unique_hosts", 400, 600))
+def q_rollup_unique_hosts_4xx(spark, sf):
+    return _rollups(spark, sf, "host_sets").unique_by_weekday_range("host_sets", 400, 600, "unique_hosts")
+
+
+@register("rollup_unique_endpoints_2xx", _unique_sql("endpoint", "unique_endpoints", 200, 300, "method = 'GET'"))
+def q_rollup_unique_endpoints_2xx(spark, sf):
+    return _rollups(spark, sf, "endpoint_sets").unique_by_weekday_range("endpoint_sets", 200, 300, "unique_endpoints")
