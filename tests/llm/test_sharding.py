@@ -84,3 +84,51 @@ def test_odd_rows_and_empty_table(spark):
         by[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert sharding.shards(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("max_bins", [None, 4])
+def test_classes_pack_as_their_items_one_by_one(max_bins):
+    rng = random.Random(8)
+    for _ in range(60):
+        classes = sorted({rng.randint(1, 60): rng.randint(1, 40) for _ in range(rng.randint(1, 9))}.items(), reverse=True)
+        steps, bins = sharding.pack(classes, 100, max_bins)
+        got = {}
+        for (size, count), runs in zip(classes, steps):
+            for i in range(count):
+                number, first, each = max(r for r in runs if r[0] <= i)
+                got[f"{1000 - size:04d}.{i:04d}"] = first + (i - number) // each
+        want = brute_best_fit([(s, f"{1000 - s:04d}.{i:04d}") for s, c in classes for i in range(c)], 100, max_bins)
+        assert Counter(got.values()) == Counter(want.values()) and bins == len(set(want.values()))
+        assert got == want
+
+
+def test_driver_work_does_not_grow_with_items_or_bins():
+    steps, bins = sharding.pack([(100.0, 10_000_000), (33.0, 50_000_000), (1.0, 10)], 1000)
+    assert bins == 1_000_000 + 50_000_000 // 30 + 1 and sum(map(len, steps)) < 10
+
+
+def test_third_of_the_rows_are_copies_with_null_id(spark):
+    rows = [(None, "same " * 20) for _ in range(3000)] + [(i, f"text {i} " * (i % 30)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.shards(df, bucket_rows=50).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in out:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(out) == 9000 and len(size) == 24
+    assert max(size.values()) <= 1.02 * sum(size.values()) / 24 and min(size.values()) >= 0.98 * sum(size.values()) / 24
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_groups_of_all_sizes_follow_best_fit(spark):
+    rng = random.Random(12)
+    docs = {i: chr(97 + i % 26) * (1 << rng.randrange(4, 12)) + "%04d" % i for i in range(400)}  # few sizes: a class is one size
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    sizes = Counter(r.shard for r in sharding.shards(df, n_shards=None, capacity=5000).collect())
+    bytes_of = Counter()
+    for r in sharding.shards(df, n_shards=None, capacity=5000).collect():
+        bytes_of[r.shard] += r.size
+    want = Counter()
+    for item, b in brute_best_fit([(len(t) + 8, i) for i, t in docs.items()], 5000).items():
+        want[b] += len(docs[item]) + 8
+    assert sorted(bytes_of.values()) == sorted(want.values()) and len(sizes) == len(want)
