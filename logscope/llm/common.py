@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,18 @@ def words(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
+def slices(texts, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some ``limit`` characters together."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= limit:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def python_workers(spark: SparkSession, rows_per_batch: int = 256) -> None:
     """Before a Python step over texts: workers get this package, and Arrow
     batches hold few rows, as one text may have megabytes."""

@@ -6,19 +6,23 @@ linear-chain CRF labels the lines good or bad; forward-backward marginals,
 weighted by line length, average into one number per document, and a logistic
 curve turns that into the probability of the label.
 
-``fit`` trains on at most ``max_docs`` labelled documents, those with the
-smallest hash of their id: only ids are ranked, and only features (some 50
-bytes a line) of the chosen ones reach the driver. Documents of more than
-``max_lines`` lines are not used to fit. Scoring is one narrow pass over whole
-texts with the model (a few hundred numbers) in the closure.
-
-Batches are scored line by line of all their documents at once, on ragged
-arrays, so memory follows the text of a batch, not its longest document.
+``fit`` trains on a bounded sample: at most ``max_docs`` labelled ids, those with
+the smallest hash, one row of each, and of these, in the same order, as many as have
+``max_lines`` lines together (a document that no longer fits is passed over). A
+document's length alone never keeps it out while it has at most ``max_lines`` lines;
+its lines are trained on as chains of at most ``CHAIN``. Only
+ids and line counts, and then the features (some 50 bytes a line) of the chosen
+ones, reach the driver. Scoring is one narrow pass over whole texts with the model (a few
+hundred numbers) in the closure.
+
+Slices of a batch are scored line by line of all their documents at once, on ragged
+arrays, so memory follows the text of a slice, not its longest document.
 
 Defined results for odd input: a null or empty text, or one without words, has
 the share of good documents in the sample as its score (0.5 without labels, as
 has every document then); a label other than 0 and 1 is no label; an id that is
-labelled twice counts with the smaller label; repeated rows give repeated rows;
+labelled twice counts with the smaller label; of rows that repeat a labelled id the one
+whose text has the least hash is learned from; repeated rows give repeated rows;
 other columns are ignored.
 """
 
@@ -33,12 +37,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logscope.llm.common import python_workers
+from logscope.llm.common import slices, stored
+from logscope.session import ship_package
 
 #: ASCII classes of the line features.
 _UPPER, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#*$%&|<>"
 _DIGITS, _STOPS = b"0123456789", b".,;:?"
 N_OWN = 12
+#: Lines of a chain in training; scoring runs over whole documents.
+CHAIN = 500
 
 
 def _line(raw: bytes, copies: int) -> list[float]:
@@ -169,13 +176,15 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, l2:
     length = np.concatenate([d[1] for d in docs])
     sizes = np.diff(starts)
     label = np.repeat(y, sizes)
+    # chains are swept step by step, so long documents are several chains; their line features still see all neighbours
+    chains = np.concatenate([*[np.arange(a, b, CHAIN) for a, b in zip(starts[:-1], starts[1:])], starts[-1:]])
     seen = np.zeros((2, 2))
     for v in (0, 1):
-        seen[v, v] = (sizes[y == v] - 1).sum()
+        seen[v, v] = (np.diff(chains)[label[chains[:-1]] == v] - 1).sum()
 
     def grad(w: np.ndarray) -> np.ndarray:
         e = np.stack([np.zeros(len(x)), x @ w[:-4]], axis=1)
-        p, pairs, _ = forward_backward(e, w[-4:].reshape(2, 2), starts)
+        p, pairs, _ = forward_backward(e, w[-4:].reshape(2, 2), chains)
         g = np.concatenate([x.T @ (p[:, 1] - label), (pairs - seen).ravel()])
         return (g + l2 * len(docs) * w * np.r_[np.full(len(w) - 4, 0.05), np.ones(4)]) / len(docs)
 
@@ -197,34 +206,45 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        max_docs: int = 3000, max_lines: int = 5000) -> Model:
+        max_docs: int = 3000, max_lines: int = 500_000) -> Model:
     """A model from labelled rows that are not held out."""
-    python_workers(docs.sparkSession)
+    ship_package(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"), (~held_out(id_col)).alias("use"))
     chosen = known.where("use AND y IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("y").cast("int").alias("y")).orderBy(
         F.xxhash64("id"), "id").limit(max_docs)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [(i, y, *features(t)) for i, y, t in zip(batch["id"], batch["y"], batch["text"])]
-            rows = [(i, y, own.tobytes(), n.astype(np.float32).tobytes()) for i, y, own, n in parts if 0 < len(n) <= max_lines]
-            yield pd.DataFrame(rows, columns=["id", "y", "own", "size"])
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "y", "text").mapInPandas(
-        of, "id string, y int, own binary, size binary").collect()  # at most max_docs ids are broadcast
-    rows = sorted(rows, key=lambda r: (r["id"], bytes(r["own"])))
+            for i, y, place, text in zip(batch["id"], batch["y"], batch["place"], batch["text"]):
+                own, n = features(text)
+                if len(n):
+                    yield pd.DataFrame([(i, y, place, own.tobytes(), n.astype(np.float32).tobytes(), len(n))],
+                                       columns=["id", "y", "place", "own", "size", "n_lines"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    mine = texts.join(F.broadcast(chosen), "id").withColumn("text_hash", F.xxhash64("text"))  # at most max_docs ids are broadcast
+    least = mine.groupBy("id", "y").agg(F.min("text_hash").alias("text_hash"))
+    # an id's rows with that hash have one text: the aggregate keeps one of them in every task
+    one = mine.join(F.broadcast(least), ["id", "y", "text_hash"]).groupBy("id", "y").agg(F.max("text").alias("text"))
+    rows = stored(one.select(F.col("id").cast("string").alias("id"), "y", F.xxhash64("id").alias("place"), "text").mapInPandas(
+        of, "id string, y int, place long, own binary, size binary, n_lines long"), "crf-sample")
+    room, use = max_lines, []
+    for r in sorted(rows.select("id", "place", "n_lines").collect(), key=lambda r: (r["place"], r["id"])):  # at most max_docs
+        if r["n_lines"] <= room:
+            room -= r["n_lines"]
+            use.append(r["id"])
+    found = sorted(rows.where(F.col("id").isin(use)).collect(), key=lambda r: (r["id"], bytes(r["own"])))  # at most max_lines lines
     return train([(np.frombuffer(r["own"], np.float32).reshape(-1, N_OWN), np.frombuffer(r["size"], np.float32).astype(float), r["y"])
-                  for r in rows])
+                  for r in found])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Per row: id, ``held_out``, ``score``, ``predicted``."""
-    python_workers(docs.sparkSession)
+    ship_package(docs.sparkSession)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts))
+        return pd.Series(np.concatenate([np.zeros(0), *[model.score(texts.iloc[a:b]) for a, b in slices(texts)]]))
 
     out = docs.select(F.col(id_col).alias(id_col), held_out(id_col).alias("held_out"), of(F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

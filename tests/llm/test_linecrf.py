@@ -69,3 +69,24 @@ def test_odd_rows_and_tables(spark):
         assert [r.doc_id for r in out] == [r[0] for r in rows]
         assert all(0 <= r.score <= 1 for r in out) and out[0].score == out[1].score
     assert linecrf.score(df.limit(0), linecrf.fit(df, labels)).count() == 0
+
+
+def test_copies_of_a_labelled_id_count_once_and_long_documents_are_learned_from(spark):
+    rng = np.random.default_rng(2)
+    text = lambda good: "\n".join(("Plain words follow here, quite calmly." if good else "### $$$ BUY %% NOW ###") + f" {rng.integers(99)}" for _ in range(6))
+    rows = [(i, text(i % 2)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    plain = linecrf.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = linecrf.fit(spark.createDataFrame(rows + [rows[1]] * 2000, "doc_id long, text string").repartition(6), labels)
+    assert np.array_equal(plain.weights, many.weights) and plain.shift == many.shift
+    odd = [i for i in range(200) if i % 2 == 0 and zlib.crc32(str(i).encode()) % 5]
+    long = [(i, "a b\n" * 6000 if i == odd[0] else t) for i, t in rows]  # longer than any bound on one document
+    assert not np.array_equal(plain.weights, linecrf.fit(spark.createDataFrame(long, "doc_id long, text string"), labels).weights)
+    few = linecrf.fit(spark.createDataFrame(long, "doc_id long, text string"), labels, max_lines=600)
+    assert 0 < few.prior < 1 and np.isfinite(few.weights).all()
+
+
+def test_session_stays_as_it_was(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    QUERIES["op1_quality_classifier"](spark, "/root/testdata/sf0.001").count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
