@@ -63,6 +63,38 @@ def test_best_first_prunes():
         assert b.found == want
 
 
+def test_handed_bound_spares_leaves_and_jobs_do_not_grow(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(16, 4))[rng.integers(0, 16, 3000)] * 3 + rng.normal(size=(3000, 4)) * .02
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    trees = kdtree.index(df, shard_rows=100, leaf=8)
+    cells = 8
+    trees_in = trees.withColumn("cell", kdtree.F.pmod(kdtree.F.xxhash64("tree"), kdtree.F.lit(cells)))
+    blocks = kdtree.query_blocks(df.where("vec_id % 50 = 0"), block_rows=16)
+    every = blocks.select("block", kdtree.F.explode(kdtree.F.sequence(kdtree.F.lit(0), kdtree.F.lit(cells - 1))).alias("cell"))
+    bare = kdtree.search(trees_in, blocks, every, 5)
+    known = kdtree.with_bounds(blocks, bare, 5)  # the final kth score itself
+    read = lambda found: found.groupBy("block").agg(kdtree.F.sum_distinct("leaves").alias("n")).agg({"n": "sum"}).first()[0]
+    with_kth = kdtree.search(trees_in, known, every, 5)
+    assert read(with_kth) < 0.8 * read(bare)
+    pick = lambda f: sorted(tuple(r) for r in kdtree._first(f, 5).select("query_id", "rank", "vec_id", "score").collect())
+    assert pick(with_kth) == pick(bare)
+
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n, size in ((50, 4096), (50, 4)):  # one block of queries, many blocks
+        spark.sparkContext.setJobGroup(f"kd-{size}", "count jobs")
+        kdtree.top_k(trees, df.where(df.vec_id % n == 0), block_rows=size).count()
+        jobs.append(len(tracker.getJobIdsForGroup(f"kd-{size}")))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert abs(jobs[0] - jobs[1]) <= 6
+
+
+def test_session_stays_as_it_was(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found(spark, [(i, [float(i), 1.0]) for i in range(60)])
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 @pytest.mark.parametrize("rows", [[], [(0, [1.0])], [(0, [1.0]), (7, [2.0])]])
 def test_few_rows(spark, rows):
     assert found(spark, rows) == brute(rows)
