@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logscope.session import checkpointed
+
 
 def _bound(x):
     return dt.datetime.fromisoformat(x) if isinstance(x, str) else x
@@ -104,20 +106,17 @@ def filter_page(df: DataFrame, start_date=None, end_date=None,
 def filter_domains(df: DataFrame) -> DataFrame:
     """Filter choices (D3) as rows ``(domain, value)`` in order: min/max date
     and the sorted distinct statuses and methods. One pass: the requests are
-    reduced to one row per (status, method), and the choices come from those."""
+    reduced to one row per (status, method), checkpointed, and the choices are
+    distinct rows of that, sorted by Spark: malformed lines may have any number of
+    methods, and no task holds them all."""
     day = F.to_date("time")
-    small = df.groupBy("status", "method").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    one = small.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"),
-                    *[F.sort_array(F.collect_set(c)).alias(c) for c in ("status", "method")],
-                    *[F.bool_or(F.col(c).isNull()).alias(f"null_{c}") for c in ("status", "method")])
-
-    def rows(domain, values):
-        return F.transform(values, lambda v: F.struct(F.lit(domain).alias("domain"), v.cast("string").alias("value")))
-
-    def choices(c):
-        none = F.array(F.lit(None).cast("string"))
-        values = F.transform(F.col(c), lambda v: v.cast("string"))
-        return rows(c, F.when(F.col(f"null_{c}"), F.concat(none, values)).otherwise(values))
-
-    return one.select(F.inline(F.concat(rows("min_date", F.array("lo")), rows("max_date", F.array("hi")),
-                                        choices("status"), choices("method"))))
+    small = checkpointed(df.groupBy("status", "method").agg(F.min(day).alias("lo"), F.max(day).alias("hi")))
+    ends = small.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(domain).alias("domain"), F.lit(None).cast("int").alias("number"),
+                 F.col(c).cast("string").alias("value")) for i, (domain, c) in enumerate([("min_date", "lo"), ("max_date", "hi")])])))
+    statuses = small.select(F.lit(2).alias("place"), F.lit("status").alias("domain"), F.col("status").alias("number"),
+                            F.col("status").cast("string").alias("value")).distinct()
+    methods = small.select(F.lit(3).alias("place"), F.lit("method").alias("domain"), F.lit(None).cast("int").alias("number"),
+                           F.col("method").alias("value")).distinct()
+    return ends.unionByName(statuses).unionByName(methods).orderBy(
+        "place", F.col("number").asc_nulls_first(), F.col("value").asc_nulls_first()).select("domain", "value")

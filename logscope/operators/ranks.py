@@ -1,4 +1,4 @@
-"""Exact order statistics in bounded memory.
+"""Exact order statistics and positions in bounded memory.
 
 A pass counts values in at most ``BUCKETS`` equal ranges and goes on inside the
 one that holds the rank, until that range is a single value. Only the bucket
@@ -7,9 +7,11 @@ counts reach the driver, so no task and no driver step grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscope.session import checkpointed
+
 BUCKETS = 4096
 
 
@@ -51,3 +53,14 @@ def linear_quantile(values: DataFrame, q: float, col: str) -> float | None:
     a = value_at_rank(values, low, col)
     b = value_at_rank(values, min(low + 1, n - 1), col) if at > low else a
     return a + (b - a) * (at - low)
+
+
+def positions(df: DataFrame, *order, name: str = "position") -> DataFrame:
+    """``df`` with each row's place (from 1) in an order: range sort, checkpoint, and
+    the counts of the sorted partitions before a row's own added to its place in it. The
+    only thing that one task sees whole is one count per partition."""
+    at = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = at.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + F.col("_at") + 1).alias(name))

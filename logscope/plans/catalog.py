@@ -24,6 +24,7 @@ from logscope.operators import features as FT
 from logscope.operators import forecast as FC
 from logscope.operators import filters as FL
 from logscope.operators import quality as Q
+from logscope.operators import ranks as RK
 from logscope.operators import rollups as RU
 from logscope.operators import segments as SG
 from logscope.operators import sizes as SZ
@@ -37,7 +38,7 @@ from logscope.plans.oracle import (
     status_category_sql, status_code_sql, time_sql, weekday_abbr_sql, weekday_index_sql,
     weekday_name_sql, with_base)
 from logscope.session import shared_path
-from logscope.sources.sinks import materialize_parsed, materialize_requests, read_requests, requests_from_parsed
+from logscope.sources.sinks import materialize_parsed, materialize_requests, read_requests, requests_from_parsed, write_result
 from logscope.streaming import append_parsed_logs, parsed_log_stream
 from logscope.sources.logs import load_log_lines, log_lines_from_events, read_log_text
 
@@ -1538,3 +1539,21 @@ def q_rollup_unique_hosts_4xx(spark, sf):
 @register("rollup_unique_endpoints_2xx", _unique_sql("endpoint", "unique_endpoints", 200, 300, "method = 'GET'"))
 def q_rollup_unique_endpoints_2xx(spark, sf):
     return _rollups(spark, sf, "endpoint_sets").unique_by_weekday_range("endpoint_sets", 200, 300, "unique_endpoints")
+
+
+# ---------------------------------------------------------------- order as data at size (W1), results as records
+
+@register("content_size_freq_order", with_base(
+    "SELECT content_size, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, content_size) AS position FROM r GROUP BY content_size"))
+def q_content_size_freq_order(spark, sf):
+    """Sizes by frequency with their position: as many rows as there are sizes, so no unpartitioned window."""
+    sizes = DS.content_size_freq(R(spark, sf))
+    return RK.positions(sizes, F.col("count").desc(), "content_size")
+
+
+@register("result_records", _top_sql("endpoint", 50))
+def q_result_records(spark, sf):
+    """A result written as JSON records and read back."""
+    result, path = DS.top_endpoints(R(spark, sf), 50), shared_path(spark, "records")
+    write_result(result, path, "json")
+    return spark.read.schema(result.schema).json(path)

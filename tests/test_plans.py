@@ -49,13 +49,19 @@ def test_fused_hourly_counts_single_shuffle(mat):
     assert p.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("op", [BD.top5_host_weekday, BD.top5_host_hour, FL.filter_domains])
+@pytest.mark.parametrize("op", [BD.top5_host_weekday, BD.top5_host_hour])
 def test_one_scan_and_one_hash_shuffle(mat, op):
     p = plan(op(mat))
     assert p.count("FileScan parquet") == 1 and p.count("Exchange hashpartitioning") <= 1
     assert "Join" not in p and "Expand" not in p
 
 
+def test_domains_read_the_requests_once_and_gather_no_set(mat):
+    p = plan(FL.filter_domains(mat))  # the one pass over the requests ends in the checkpoint
+    assert p.count("FileScan parquet") == 0 and "Scan ExistingRDD" in p
+    assert "collect_set" not in p and "Join" not in p and "Expand" not in p
+
+
 def test_host_features_need_no_expand(mat):
     assert "Expand" not in plan(FT.host_features(mat))
 

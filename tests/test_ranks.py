@@ -79,3 +79,20 @@ def test_anomaly_share_is_exact(spark):
     rows = isolation_forest(df, ["a", "b"], n_trees=20).orderBy(F.col("anomaly_score").desc()).collect()
     scores = [r["anomaly_score"] for r in rows]
     assert [r["label"] for r in rows] == [-1 if s > np.quantile(scores, 0.9) else 1 for s in scores]
+
+
+def test_positions_equal_a_sort(spark):
+    from logscope.operators import ranks as RK
+    rows = [(i, (i * 37) % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(9)
+    got = sorted((r["position"], r["k"]) for r in RK.positions(df, F.col("v").desc(), "k").collect())
+    assert got == [(p, k) for p, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)]
+    assert RK.positions(df.limit(0), "k").count() == 0
+
+
+def test_schema_view_reads_nothing(spark):
+    from logscope.operators import table as TB
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    view = TB.schema_view(df)
+    assert [(r["position"], r["column"]) for r in view.collect()] == list(enumerate(df.columns))
+    assert "FileScan" not in view._jdf.queryExecution().executedPlan().toString()
