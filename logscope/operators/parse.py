@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,13 @@ PARSED_COLUMNS = ["host", "timestamp", "method", "endpoint", "protocol", "status
 REQUEST_COLUMNS = ["host", "method", "endpoint", "protocol", "status", "content_size", "time"]
 
 
-def parse_log(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_log(lines: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """One projection of the five patterns (B6). A narrow map: no shuffle,
-    and Catalyst prunes any field a later step does not read."""
+    and Catalyst prunes any field a later step does not read. ``keep`` names other
+    columns of ``lines`` to carry along."""
     v = F.col(value)
     return lines.select(
+        *keep,
         X.host(v).alias("host"),
         X.timestamp_text(v).alias("timestamp"),
         X.method(v).alias("method"),
@@ -43,10 +47,10 @@ def with_instant(parsed: DataFrame) -> DataFrame:
                          X.clf_instant_epoch("timestamp").alias("instant_epoch"))
 
 
-def requests_table(lines: DataFrame, instant: bool = False) -> DataFrame:
+def requests_table(lines: DataFrame, instant: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """The request table ``R``: parse, fill sizes, convert time. ``instant``
     adds ``instant_epoch``, for filters by bounds with a zone."""
-    parsed = fill_content_size(parse_log(lines))
+    parsed = fill_content_size(parse_log(lines, keep=keep))
     return with_instant(parsed).drop("timestamp") if instant else with_time(parsed)
 
 

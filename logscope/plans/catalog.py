@@ -38,6 +38,7 @@ from logscope.plans.oracle import (
     status_category_sql, status_code_sql, time_sql, weekday_abbr_sql, weekday_index_sql,
     weekday_name_sql, with_base)
 from logscope.session import shared_path
+from logscope.sources.incremental import ingest, read_loaded
 from logscope.sources.sinks import materialize_parsed, materialize_requests, read_requests, requests_from_parsed, write_result
 from logscope.streaming import append_parsed_logs, parsed_log_stream
 from logscope.sources.logs import load_log_lines, log_lines_from_events, read_log_text
@@ -1557,3 +1558,13 @@ def q_result_records(spark, sf):
     result, path = DS.top_endpoints(R(spark, sf), 50), shared_path(spark, "records")
     write_result(result, path, "json")
     return spark.read.schema(result.schema).json(path)
+
+
+@register("incremental_requests", with_base(f"SELECT {R_COLS} FROM r"))
+def q_incremental_requests(spark, sf):
+    """A6 in two overlapping loads of log files: every line is there once."""
+    logs, path = shared_path(spark, "log-files"), shared_path(spark, "loaded")
+    lines(spark, sf).select("value").repartition(3).write.text(f"{logs}/a")
+    ingest(spark, [f"{logs}/a/part-00000*", f"{logs}/a/part-00001*"], path)
+    ingest(spark, [f"{logs}/a"], path)
+    return rows(read_loaded(spark, path))
