@@ -48,15 +48,18 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
       FROM w LEFT JOIN r USING (rid)),
 b AS (SELECT *, CAST({_BITS_SQL} AS BIGINT) AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (failed_bits & {rules.mask('base')}) <> 0 AS base_failed, (failed_bits & {rules.mask('v1')}) = 0 AS kept, failed_bits
+       (failed_bits & {rules.mask('base')}) <> 0 AS base_failed, (failed_bits & {rules.mask('v1')}) = 0 AS kept, failed_bits,
+       failed_bits & {rules.mask('v1')} AS blocking_bits, bit_count(failed_bits & {rules.mask('v1')}) = 1 AS blocks_alone,
+       (failed_bits & {rules.mask('v2')}) = 0 AS kept_v2
 FROM b"""
 
 
 @register("op2_quality_rules", OP2_SQL)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = rules.ledger(table(spark, sf_dir, "documents"))
+    book = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), "v1")
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"), "failed_bits")
+                       (~rules.passes("base")).alias("base_failed"), "kept", "failed_bits", "blocking_bits",
+                       rules.blocks_alone("v1").alias("blocks_alone"), rules.passes("v2").alias("kept_v2"))
 
 
 @register("op10_simhash")

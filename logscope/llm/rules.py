@@ -37,6 +37,7 @@ RULES: dict[str, str] = {
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("min_words", "repeat_words"),
     "v1": ("min_words", "repeat_words", "symbols", "dup_lines", "shouting", "word_length"),
+    "v2": ("min_words", "repeat_words", "symbols", "shouting"),
 }
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
@@ -120,6 +121,12 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
         "kept": passes(policy)})
 
 
+def blocks_alone(policy: str, bits: str = "failed_bits") -> Column:
+    """Whether just one rule of a policy rejects the document: it would be kept
+    without that rule."""
+    return F.bit_count(F.col(bits).bitwiseAND(F.lit(mask(policy)))) == 1
+
+
 def ablation(book: DataFrame, policy: str) -> DataFrame:
     """Per rule of a policy: documents failing it, failing it alone (they
     would come back without it), and kept with and without it. One row per

@@ -70,3 +70,13 @@ def test_queries_equal_their_sql(spark, name):
     cols = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall()
     assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, want))
+
+
+def test_policies_agree_with_their_ablation(spark):
+    book = rules.ledger(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for policy in rules.POLICIES:
+        alone = book.where(rules.blocks_alone(policy)).count()
+        table = rules.ablation(book, policy).collect()
+        assert sum(r["failing_alone"] for r in table) == alone
+        assert all(r["kept_without"] - r["kept_with"] == r["failing_alone"] for r in table)
+    assert book.where(rules.passes("v1") & ~rules.passes("v2")).count() == 0  # v2 only leaves rules out
