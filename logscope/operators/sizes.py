@@ -58,17 +58,17 @@ def median_of(counts: DataFrame, shift: int = 16) -> DataFrame:
     ``quantile_cont``); NULL for no rows.
 
     For at most 32 bits the bucket table has at most 2**(32 - shift) rows and
-    a bucket at most 2**shift values. Wider integers are found by narrowing
+    a bucket at most 2**shift values. Wider integers and doubles are found by narrowing
     ranges (``ranks``), which is as bounded but runs when the plan is built.
     """
     kind = dict(counts.dtypes)["v"]
-    if kind == "bigint":
+    if kind in ("bigint", "float", "double"):
         n = counts.agg(F.sum("n")).first()[0] or 0
         mid = [value_at_rank(counts, r, "v", "n") for r in ((n - 1) // 2, n // 2)] if n else [None, None]
         value = None if mid[0] is None else (float(mid[0]) + float(mid[1])) / 2
         return counts.sparkSession.range(1).select(F.lit(value).cast("double").alias("median"))
     if kind not in ("int", "smallint", "tinyint"):
-        raise TypeError(f"the median needs an integer column, got {kind}")
+        raise TypeError(f"the median needs a number column, got {kind}")
     vals = counts.select(F.col("v").cast("bigint").alias("v"), "n")
     bucket = F.shiftright("v", shift)
     buckets = vals.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n_b"))

@@ -96,3 +96,10 @@ def test_schema_view_reads_nothing(spark):
     view = TB.schema_view(df)
     assert [(r["position"], r["column"]) for r in view.collect()] == list(enumerate(df.columns))
     assert "FileScan" not in view._jdf.queryExecution().executedPlan().toString()
+
+
+def test_median_of_a_double_column(spark):
+    for values in ([2.5, -1.0, 7.25], [0.5, 0.5, 1.0, 9.75], []):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        got = SZ.exact_median(df, "x").first()["median"]
+        assert got == (float(np.median(values)) if values else None)
