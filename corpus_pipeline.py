@@ -3,9 +3,12 @@ data, source mix, tokens. Each stage applies one operator to all rows that the
 stage before it kept; its result is written as Parquet in the shared folder and
 reread as the next one's ``docs``.
 
-Stages read ``doc_id``, ``text`` and ``source`` and pass every other column on,
-whatever its name. Null and empty texts are documents without words, which the
-quality rules reject.
+Stages read ``doc_id``, ``text`` and ``source``; all but the last pass every other
+column on, whatever its name, and the last returns ``doc_id``, ``source``, ``n_tokens``
+and ``ids``. Null and empty texts are documents without words, which the quality rules
+reject. Repeated rows are copies, of which one stays; of near copies the one with the
+smallest id, then the smallest row hash. Texts of any length are worked whole, and
+empty tables give empty ones.
 """
 
 from __future__ import annotations
