@@ -131,3 +131,80 @@ def test_other_groupings_of_a_number_are_linked():
     said = [text[a:b] for a, b in g.words]
     assert {("555-5412", "535-555-5412"), ("535-555-5412", "5355555412,"), ("5355555412,", "5412")} <= {(said[a], said[b]) for a, b in g.skip}
     assert all(a < b for a, b in g.skip) and len({*map(tuple, g.skip.tolist())}) == len(g.skip)
+
+
+def planted(text, form, rnd):
+    """``form`` as words of its own somewhere in ``text``, and where."""
+    words = text.split(" ")
+    i = rnd.randrange(len(words) + 1)
+    before = " ".join(words[:i]) + " "
+    return before + form + " " + " ".join(words[i:]), len(before), len(before) + len(form)
+
+
+def test_recall_of_planted_forms_and_false_alarms(spark):
+    """Numbers that no training text holds, in forms that no base pattern takes: recall
+    of each form, alone in its text and said twice; forms that training did not plant;
+    and numbers that are nobody's, some of kinds that training has no decoy of."""
+    import random
+    model, rnd = fitted(spark), random.Random(11)
+    docs = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    clean = [t for t in docs if t and not pii.words(t)][:120]
+    assert len(clean) == 120
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        while not luhn(d := "4" + digits(15)):
+            pass
+        return d
+
+    def said():
+        d, c, mail = digits(10), card(), f"jo{digits(2)}@mail{digits(1)}.example.com"
+        ip = ".".join(str(rnd.randrange(1, 255)) for _ in range(4))
+        made = [(k, f) for k, base in ((0, mail), (1, ip), (2, c), (3, "+1" + d)) for f in pii.other_forms(k, base)]
+        return made + [(3, f"{d[:3]}/{d[3:6]}-{d[6:]}"), (2, "_".join(c[i:i + 4] for i in range(0, 16, 4)))]
+
+    def nobody():
+        return [f"20{digits(2)}-0{rnd.randrange(1, 10)}-1{digits(1)}", f"1{digits(1)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}",
+                digits(6), digits(10), "@bob", f"${digits(2)},{digits(3)}.{digits(2)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
+                "1b4e28ba-2fa1-11d2-883f-b9a761bde3fb", "covid-19", "1024x768", f"{digits(3)}-{digits(4)}"]
+
+    hits, again, alarms = None, None, 0
+    for text in clean:
+        forms = said()
+        hits, again = hits or [0] * len(forms), again or [0] * len(forms)
+        for i, (kind, form) in enumerate(forms):
+            one, a, b = planted(text, form, rnd)
+            hits[i] += any(k == kind and s < b and e > a for k, s, e in pii.spans(one, model)[1])
+            two = one + " or " + form
+            found = [(s, e) for k, s, e in pii.spans(two, model)[1] if k == kind]
+            again[i] += any(s < b and e > a for s, e in found) and any(e > len(one) for s, e in found)
+        alarms += sum(pii.spans(planted(text, x, rnd)[0], model) != ([], []) for x in nobody())
+    assert min(hits) >= 0.9 * len(clean) and min(again) >= 0.9 * len(clean), (hits, again)
+    assert alarms <= 0.01 * 12 * len(clean)
+
+
+def test_what_training_knows_of_a_text():
+    text = "Call +1 (535) 555-5412, a.b@c.de, 1.2.3.4, 4929348385146306 or 4929348385146307 and 99"
+    base = pii.base_spans(text)
+    other, known = pii._replanted(text, base)
+    said = {k: text[a:b] for k, a, b in base}
+    first = {k: other[a:b] for k, a, b in reversed(known)}
+    assert all(first[k] in [*pii.other_forms(k, said[k]), pii.short_form(k, said[k])] for k in (0, 2, 3)) and first[1].count("-") >= 3
+    assert pii.base_spans(other.split(" and 99")[0]) == []
+    g = pii.graph(text, base + pii._failed(text))
+    label = {text[a:b]: int(v) for (a, b), v in zip(g.words, g.label)}
+    assert label["4929348385146307"] == pii.OTHER and label["99"] == pii.UNLABELLED and label["4929348385146306"] == 3
+    clean = "no match, 99 words"
+    assert pii._replanted(clean, []) == (clean, [])
+
+
+def test_messages_that_do_not_rest_are_reported():
+    import numpy as np
+    rnd = np.random.default_rng(1)
+    text = " ".join(f"{rnd.integers(10, 30)}" for _ in range(60))
+    g = pii.graph(text, [])
+    hard = pii.Model({f"digits={d}": 0.1 * np.arange(pii.N_LABELS) for d in range(9)}, -6 * np.eye(pii.N_LABELS), -6 * np.eye(pii.N_LABELS))
+    p, rest = hard.settled_marginals(g)
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1) and isinstance(rest, bool)
+    soft = pii.Model({}, 0.1 * np.eye(pii.N_LABELS), 0.1 * np.eye(pii.N_LABELS))
+    assert soft.settled_marginals(g)[1]
