@@ -43,8 +43,7 @@ def slices(texts, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def python_workers(spark: SparkSession, rows_per_batch: int = 256) -> None:
-    """Before a Python step over texts: workers get this package, and Arrow
-    batches hold few rows, as one text may have megabytes."""
+def python_workers(spark: SparkSession) -> None:
+    """Before a Python step: workers get this package. No session setting changes:
+    Spark ends an Arrow batch at 64 MB, however many rows it holds."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))

@@ -86,7 +86,7 @@ def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def cuts(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """``goals`` with whole ``epochs`` and ``cut``: the last key of the part
     epoch (null: no row is in it)."""
-    python_workers(rows.sparkSession, 1 << 16)
+    python_workers(rows.sparkSession)
     units = rows.groupBy("source", "key").agg(F.sum("size").alias("size"))
     ranked = units.join(goals.select(F.col("source").alias("s"), "rank"), F.col("source").eqNullSafe(F.col("s"))).select("rank", "key", "size")
     ranked = stored(ranked, "mix-units")  # the range sort samples its input first

@@ -263,7 +263,7 @@ def _linked(batch: pd.DataFrame, max_bits: int) -> pd.DataFrame:
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """Edges (u, v) over distinct ``fp`` that connect exactly what fingerprint
     pairs within ``max_bits`` bits connect."""
-    python_workers(fps.sparkSession, 1 << 16)
+    python_workers(fps.sparkSession)
     orders = _orders(block_count(fps.count(), max_bits), max_bits)
     copies = F.array(*[F.struct(F.lit(t).alias("trie"), _permuted(o).alias("key")) for t, (o, _) in enumerate(orders)])
     keys = fps.select("fp", F.explode(copies).alias("x")).select("x.trie", "x.key", "fp")

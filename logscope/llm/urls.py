@@ -127,7 +127,7 @@ def _passing(keys: DataFrame, level: Level, k: int) -> DataFrame:
 
 def cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = 64 << 20) -> Cascade:
     """A cascade for the keys ``listed`` (h1, h2) over ``universe`` (h1, h2)."""
-    python_workers(listed.sparkSession, 1 << 16)
+    python_workers(listed.sparkSession)
     listed = stored(listed.select("h1", "h2").distinct(), "cascade-listed")
     levels: list[Level] = []
     inside, n = listed, listed.count()
@@ -165,7 +165,7 @@ def _candidates(h: Column, p: Column, labels: list[int], lengths: list[int]) ->
 
 def build(pages: DataFrame, rules: DataFrame, url_col: str = "url", parts: int = 1, max_bytes: int = 64 << 20) -> Filter:
     """``rules``: verdict, host, path (rows with a null are ignored)."""
-    python_workers(pages.sparkSession, 1 << 16)
+    python_workers(pages.sparkSession)
     rules = rules.select("verdict", F.translate("host", _UPPER, _LOWER).alias("host"), "path").na.drop()
     shapes = rules.select(F.size(F.split("host", r"\.", -1)).alias("n"), F.length("path").alias("k")).distinct().collect()
     labels, lengths = sorted({r["n"] for r in shapes}), sorted({r["k"] for r in shapes})  # bounded by the longest rule
