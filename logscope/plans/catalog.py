@@ -941,9 +941,46 @@ def q_model_comparison(spark, sf):
     return SG.model_comparison(R(spark, sf))
 
 
-@register("host_anomalies")
+def _forest_sql(n_trees: int = 100, psi: int = 256, seed: int = 42, contamination: float = 0.1) -> str:
+    """The isolation forest as a node table a level (``n0``...), met by all hosts."""
+    d, depth = len(FT.FEATURES), 8  # 2^8 = psi
+    def hashed(*parts: str) -> str:
+        return f"substr(md5(concat_ws(':', {', '.join(parts)})), 1, {AN.DIGITS})"
+    def unit(what: str) -> str:
+        return f"((CAST('0x' || {hashed(what, 'tree', 'node', str(seed))} AS BIGINT) + 0.5::DOUBLE) / {16 ** AN.DIGITS}::DOUBLE)"
+    def mean_path(n: str) -> str:
+        return (f"(CASE WHEN {n} > 2 THEN 2.0::DOUBLE * (ln(CAST({n} - 1 AS DOUBLE)) + {AN.EULER}::DOUBLE) - 2.0::DOUBLE * ({n} - 1) / {n} "
+                f"WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")
+    ready = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE), 6)" for c in FT.FEATURES)
+    low, high = (", ".join(f"{f}(x[{i}])" for i in range(1, d + 1)) for f in ("min", "max"))
+    trees = f"range({n_trees}) t(tree)"
+    ctes = [_HOST_FEATURES_CTE,
+            f"fx AS MATERIALIZED (SELECT host, [{ready}] AS x FROM (SELECT *, {_DERIVED} FROM hf))",
+            f"par AS MATERIALIZED (SELECT least({psi}, count(*)) AS psi, ceil(log2(greatest(least({psi}, count(*)), 2))) AS depth FROM fx)",
+            f"s0 AS MATERIALIZED (SELECT tree, 1 AS node, x FROM (SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY "
+            f"{hashed('tree', str(seed), 'host')}, host NULLS FIRST) AS place FROM fx, {trees}) WHERE place <= (SELECT psi FROM par))",
+            f"d0 AS MATERIALIZED (SELECT host, x, tree, 1 AS node FROM fx, {trees})"]
+    for i in range(depth + 1):
+        ctes += [
+            f"n{i} AS MATERIALIZED (SELECT tree, node, n, f, lo[f] + {unit(chr(39) + 'threshold' + chr(39))} * (hi[f] - lo[f]) AS cut FROM "
+            f"(SELECT *, CASE WHEN {i} < (SELECT depth FROM par) AND len(v) > 0 THEN "
+            f"v[1 + CAST(floor({unit(chr(39) + 'feature' + chr(39))} * len(v)) AS BIGINT)] END AS f FROM "
+            f"(SELECT *, list_filter(range(1, {d + 1}), lambda j: lo[j] < hi[j]) AS v FROM "
+            f"(SELECT tree, node, count(*) AS n, [{low}] AS lo, [{high}] AS hi FROM s{i} GROUP BY tree, node))))",
+            f"s{i + 1} AS MATERIALIZED (SELECT tree, 2 * node + CAST(x[f] >= cut AS INTEGER) AS node, x FROM s{i} JOIN n{i} USING (tree, node) "
+            "WHERE f IS NOT NULL)",
+            f"m{i} AS MATERIALIZED (SELECT host, x, tree, node, n, f, cut FROM d{i} LEFT JOIN n{i} USING (tree, node))",
+            f"d{i + 1} AS MATERIALIZED (SELECT host, x, tree, 2 * node + CAST(x[f] >= cut AS INTEGER) AS node FROM m{i} WHERE f IS NOT NULL)"]
+    ends = " UNION ALL ".join(f"SELECT host, {i * AN.MICRO} + CAST(floor({mean_path('n')} * {AN.MICRO} + 0.5) AS BIGINT) AS p FROM m{i} WHERE f IS NULL" for i in range(depth + 1))
+    ctes.append(f"sc AS MATERIALIZED (SELECT host, CASE WHEN (SELECT psi FROM par) < 2 THEN 0.5 ELSE pow(2.0::DOUBLE, -(CAST(sum(p) AS DOUBLE) / "
+                f"{n_trees * AN.MICRO}) / (SELECT {mean_path('psi')} FROM par)) END AS s FROM ({ends}) GROUP BY host)")
+    return with_base(f"SELECT host, round(s, 6) AS anomaly_score, CASE WHEN s > (SELECT quantile_cont(s, {1.0 - contamination}) FROM sc) "
+                     "THEN -1 ELSE 1 END AS label FROM sc", *ctes)
+
+
+@register("host_anomalies", _forest_sql())
 def q_host_anomalies(spark, sf):
-    return AN.host_anomalies(R(spark, sf))
+    return _round_cols(AN.host_anomalies(R(spark, sf)), ["anomaly_score"])
 
 
 def _forecast_sql(periods: int = 30, z: float = FC.Z80) -> str:
