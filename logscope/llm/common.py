@@ -26,6 +26,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with at least this part of all rows are joined by broadcast.
+HEAVY = 4096
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row per ``key`` and in ``n``
+    how many of the ``total`` rows have it. Keys with at least 1/``HEAVY`` of the rows, of
+    which there are at most ``HEAVY``, join by broadcast, so that their rows stay spread
+    over tasks; the others by shuffle. ``n`` is not returned."""
+    heavy = F.broadcast(facts.where(F.col(n) * HEAVY >= total).drop(n))
+    light = facts.where(F.col(n) * HEAVY < total).drop(n)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def words(text):
     """Words of a text column, in order (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")

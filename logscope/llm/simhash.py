@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logscope.llm.common import python_workers, stored
+from logscope.llm.common import python_workers, spread_join, stored
 
 BITS = 64
 SEED = 42  # of XXH64, as in Spark's xxhash64()
@@ -292,7 +292,8 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): the smallest node of
-    its component. Alternating large-star and small-star until nothing moves."""
+    its component. Alternating large-star and small-star until nothing moves. A hub's
+    edges stay spread over tasks (``spread_join``)."""
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = None
     while True:
@@ -301,11 +302,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "large-least")
+        large = spread_join(both.where("v > u"), least, "u", "n", 2 * now["n"]).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small-least")
+        small = spread_join(large, least, "u", "n", large.count()).where("v <> m").select(
+            F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -316,14 +319,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, ``fp`` and ``component_id``, the smallest id
     reachable over links."""
     rows = stored(with_fingerprint(docs.select(id_col, text_col), text_col, shingle).select(id_col, "fp"), "simhash")
-    classes = rows.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    member = components(links(rows.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
+    classes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "simhash-classes")
+    member = components(links(classes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     member = stored(member, "simhash-members")
     named = classes.join(member, "fp").groupBy("root").agg(F.min("least_id").alias("named"))
     named = member.join(named, "root").select("fp", "named")
-    ids = classes.join(named, "fp", "left").select(
-        "fp", F.coalesce("named", "least_id").alias("component_id"))
-    return rows.join(ids, "fp").select(id_col, "fp", "component_id")
+    ids = stored(classes.join(named, "fp", "left").select(
+        "fp", "n", F.coalesce("named", "least_id").alias("component_id")), "simhash-ids")
+    return spread_join(rows, ids, "fp", "n", rows.count()).select(id_col, "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
