@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from logscope.llm import simhash
+from logscope.llm import common, simhash
 from logscope.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +136,17 @@ def test_deduplicate_keeps_one_row_per_component(spark):
     named = simhash.near_duplicates(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(
         r.c for r in named.select(F.col("component_id").alias("c")).distinct().collect())
+
+
+def test_hub_and_hot_keys_join_by_broadcast(spark, monkeypatch):
+    """Two hubs and a chain: heavy nodes by broadcast, the others by shuffle, no link lost."""
+    monkeypatch.setattr(common, "HEAVY", 4)
+    star = [(5, 100 + i) for i in range(200)] + [(300 + i, 900) for i in range(50)] + [(i, i + 1) for i in range(1000, 1020)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert got == {n: 5 for n in [5, *range(100, 300)]} | {n: 300 for n in [*range(300, 350), 900]} | {n: 1000 for n in range(1000, 1021)}
+
+    rows = spark.createDataFrame([(0, i) for i in range(60)] + [(k, 0) for k in range(1, 21)], "k long, x long")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("top"))
+    joined = common.spread_join(rows, facts, "k", "n", 80)
+    assert joined.columns == ["k", "x", "top"]
+    assert sorted(map(tuple, joined.collect())) == sorted([(0, i, 59) for i in range(60)] + [(k, 0, 0) for k in range(1, 21)])
