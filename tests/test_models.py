@@ -62,6 +62,38 @@ def test_isolation_forest_finds_planted_outlier(spark):
     assert 0.05 <= share <= 0.15
 
 
+def test_isolation_forest_equals_a_plain_descent(spark):
+    """Scores from the node table, row by row in plain Python, and no node table of a tree is torn."""
+    rows = [(f"h{i}", float(i * i % 23), float(i % 5), 7.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "host string, a double, b double, c double")
+    x = AN._sample(df, "host", 7, 32, 90, 3)
+    assert {r["count"] for r in x.groupBy("tree").count().collect()} == {32}
+    nodes = {(n["tree"], n["node"]): n for n in AN.grow(x, ["a", "b", "c"], 5, 3).collect()}
+    want = {}
+    for host, *v in rows:
+        total = 0
+        for tree in range(7):
+            node = 1
+            while (tree, node) in nodes and nodes[tree, node]["feature"] is not None:
+                n = nodes[tree, node]
+                assert n["feature"] != 2  # a constant column is never cut
+                node = 2 * node + (v[n["feature"]] >= n["threshold"])
+            size = nodes[tree, node]["n"] if (tree, node) in nodes else 0
+            total += (node.bit_length() - 1) * AN.MICRO + int(AN.avg_path(size) * AN.MICRO + 0.5)
+        want[host] = 2.0 ** (-total / 7 / AN.MICRO / AN.avg_path(32))
+    got = AN.isolation_forest(df, ["a", "b", "c"], "host", n_trees=7, sample_size=32, seed=3).collect()
+    assert {r["host"]: r["anomaly_score"] for r in got} == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("rows", [[], [("h", 1.0)], [("h", 2.0), (None, None)], [(f"h{i}", 4.0) for i in range(20)]])
+def test_isolation_forest_small_and_constant_tables(spark, rows):
+    """No row, one row (0.5), a null host and null feature (0), a column that never varies: no host stands out."""
+    got = AN.isolation_forest(spark.createDataFrame(rows, "host string, a double"), ["a"], "host", n_trees=5).collect()
+    assert sorted(str(r["host"]) for r in got) == sorted(str(h) for h, _ in rows)
+    if len(rows) != 2:
+        assert all(abs(r["anomaly_score"] - 0.5) < 1e-6 and r["label"] == 1 for r in got)
+
+
 def test_forecast_recovers_linear_trend(spark):
     d0 = dt.date(2024, 1, 1)
     hist = spark.createDataFrame([(d0 + dt.timedelta(days=i), 10 + 2 * i) for i in range(28)], "ds date, y long")
