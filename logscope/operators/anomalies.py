@@ -40,6 +40,8 @@ NODE_SCHEMA = "tree int, node int, feature int, threshold double, n bigint"
 EULER = 0.5772156649
 #: Unit of a path length.
 MICRO = 1_000_000
+#: Rows that one task takes through all trees.
+TASK_ROWS = 20_000
 #: Hex digits of a hash that are used: 52 bits, exact in a double.
 DIGITS = 13
 
@@ -60,6 +62,10 @@ def _hash(*parts) -> Column:
     return F.substring(F.md5(F.concat_ws(":", *parts)), 1, DIGITS)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _sample(x: DataFrame, id_col: str, n_trees: int, psi: int, n: int, seed: int) -> DataFrame:
     """``psi`` rows of ``x`` for each ``tree``: those of the smallest hashes."""
     def h(t):
@@ -71,7 +77,8 @@ def _sample(x: DataFrame, id_col: str, n_trees: int, psi: int, n: int, seed: int
         bound = F.lit(format(int(share * 16 ** DIGITS), f"0{DIGITS}x"))
         trees = F.filter(trees, lambda t: h(t) < bound)
     w = Window.partitionBy("tree").orderBy(h(F.col("tree")), id_col)
-    return x.withColumn("tree", F.explode(trees)).withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= psi).drop("_at")
+    drawn = x.withColumn("tree", F.explode(trees)).repartition(min(n_trees, _tasks(x)), "tree")  # few bytes, but trees take time
+    return drawn.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= psi).drop("_at")
 
 
 def _grow(pdf: pd.DataFrame, cols: list[str], max_depth: int, seed: int) -> pd.DataFrame:
@@ -140,7 +147,8 @@ def isolation_forest(features: DataFrame, cols: list[str], id_col: str = "host",
     nodes = checkpointed(grow(_sample(x, id_col, n_trees, psi, n, seed), cols, depth, seed))
     mean = F.col("total") / F.lit(float(n_trees * MICRO))
     score = F.pow(F.lit(2.0), -mean / F.lit(avg_path(psi))) if psi > 1 else F.lit(0.5)
-    scored = path_lengths(x, nodes, cols, id_col, n_trees, depth).select(id_col, score.alias("anomaly_score"))
+    spread = x.repartition(max(_tasks(x), n // TASK_ROWS + 1), id_col)  # the sums by id need no other shuffle
+    scored = path_lengths(spread, nodes, cols, id_col, n_trees, depth).select(id_col, score.alias("anomaly_score"))
     scored = checkpointed(scored)  # the threshold passes and the result read it
     cut = F.lit(linear_quantile(scored, 1.0 - contamination, "anomaly_score"))
     return scored.withColumn("label", F.when(F.col("anomaly_score") > cut, F.lit(-1)).otherwise(F.lit(1)))
