@@ -13,11 +13,13 @@ which holds no letters.
 
 For scoring, each order's discounted probabilities and each context's
 interpolation weights are arrays sorted by the gram's 64-bit hash (XXH64), one
-column a language. Their size has a fixed bound, whatever the corpus: the upper
-bits of the hash choose one of ``2 ** bits`` places, and of grams that share a
-place the most frequent stays, the others back off. ``bits`` follows from
-``max_bytes`` and the number of languages. The arrays are what the driver gathers
-and every task gets; they grow with the corpus up to that bound.
+column a language. Their size has a fixed bound, whatever the corpus: ``2 ** bits``
+grams, where ``bits`` follows from ``max_bytes`` and the number of languages. The
+arrays are what the driver gathers and every task gets. Up to that bound they hold all
+grams. Beyond it the upper bits of the hash choose one of ``2 ** bits`` places, the
+arrays hold the most frequent gram of each, and the whole tables stay Parquet: of a
+text, a task adds up what the arrays settle; its other grams whose place has left grams
+out are joined to the tables, so no gram is lost at any size.
 
 Calibration uses the labelled documents whose text hash is 0 modulo ``CALIBRATE``;
 those are not counted. Documents are grouped by how many nats the best language is
@@ -36,16 +38,16 @@ own, read whole; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logscope.llm.common import slices, stored
+from logscope.llm.common import slices, spread_join, stored
 from logscope.session import ship_package
 
 ORDER = 4
@@ -111,11 +113,27 @@ def _tail(gram: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Lookup:
-    """Values of languages by gram, in an array sorted by the gram's hash."""
+    """Values of languages by gram, in an array sorted by the gram's hash: of all grams, or
+    of one a place, where ``crowded`` tells which places have others in ``table``."""
 
     keys: np.ndarray
     values: np.ndarray
     missing: float
+    table: DataFrame | None = None  # (gram, v) of all grams; not sent to tasks
+    bits: int = 0
+    crowded: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "table": None}
+
+    def left_out(self, gram: np.ndarray) -> np.ndarray:
+        """Whether a gram is not here but may be in the table."""
+        if self.crowded is None:
+            return np.zeros(len(gram), bool)
+        h, shift = xxh64(gram), np.uint64(64 - self.bits)
+        places = self.keys >> shift
+        at = np.minimum(np.searchsorted(places, h >> shift), len(places) - 1)
+        return self.crowded[at] & (places[at] == h >> shift) & (self.keys[at] != h)
 
     def of(self, gram: np.ndarray) -> np.ndarray:
         out = np.full((len(gram), self.values.shape[1]), self.missing)
@@ -144,24 +162,54 @@ class Model:
             p = self.seen[k - 1].of(tail) + self.rest[k - 1].of(tail >> np.uint64(16)) * p
         return np.log(p)
 
-    def entropy(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy a character (texts by languages), characters a text."""
-        gram, sizes = grams(texts)
-        codes, distinct = pd.factorize(gram)
-        logs = self.logs(distinct)
+    @property
+    def whole(self) -> bool:
+        """Whether the arrays hold all grams."""
+        return all(look.crowded is None for look in self.seen + self.rest)
+
+    def left_out(self, gram: np.ndarray) -> np.ndarray:
+        """Whether a probability that the gram needs may be in the tables only."""
+        out = np.zeros(len(gram), bool)
+        for k in range(1, ORDER + 1):
+            tail = _tail(gram, k)
+            out |= self.seen[k - 1].left_out(tail) | self.rest[k - 1].left_out(tail >> np.uint64(16))
+        return out
+
+    def sums(self, logs: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Rows of ``logs`` added up a text; ``codes`` are the rows, text by text."""
         out = np.zeros((len(sizes), len(self.langs)))
         full = np.flatnonzero(sizes)
         if len(full):
             starts = np.cumsum(np.append(0, sizes[full]))[:-1]
             for k in range(len(self.langs)):
-                out[full, k] = -np.add.reduceat(logs[codes, k], starts) / sizes[full]
-        return out, sizes
+                out[full, k] = np.add.reduceat(logs[codes, k], starts)
+        return out
+
+    def entropy(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy a character (texts by languages), characters a text."""
+        gram, sizes = grams(texts)
+        codes, distinct = pd.factorize(gram)
+        return -self.sums(self.logs(distinct), codes, sizes) / np.maximum(sizes, 1)[:, None], sizes
+
+    def parts(self, texts) -> tuple[np.ndarray, ...]:
+        """Per text: log probability by language of the grams that the arrays settle, and
+        characters. Then text number, gram and how often it occurs, of the other grams."""
+        gram, sizes = grams(texts)
+        codes, distinct = pd.factorize(gram)
+        left = self.left_out(distinct)
+        logs = self.sums(np.where(left[:, None], 0.0, self.logs(distinct)), codes, sizes)
+        other = left[codes]
+        pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[other] * len(distinct) + codes[other], return_counts=True)
+        text, code = np.divmod(pairs, max(len(distinct), 1))
+        return logs, sizes, text, distinct[code].view(np.int64), times
 
     def best(self, texts) -> pd.DataFrame:
         """Per text: language number (-1: none), its cross-entropy, characters, nats ahead."""
         if not self.langs:
             return pd.DataFrame({"lang": [-1] * len(texts), "entropy": 0.0, "chars": 0, "ahead": 0.0})
-        entropy, sizes = self.entropy(texts)
+        return self.ranked(*self.entropy(texts))
+
+    def ranked(self, entropy: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
         first = entropy.argmin(axis=1)
         low = entropy.min(axis=1)
         entropy[np.arange(len(first)), first] = np.inf
@@ -176,6 +224,25 @@ class Model:
     def bin(self, ahead: np.ndarray) -> np.ndarray:
         return np.clip(2 * np.log2(1 + ahead), 0, BINS - 1).astype(int)
 
+    def binned(self, best: pd.DataFrame) -> pd.DataFrame:
+        best["bin"] = self.bin(best["ahead"].to_numpy())
+        return best[["lang", "entropy", "chars", "bin"]]
+
+    def named(self, best: pd.DataFrame) -> pd.DataFrame:
+        lang, chars = best["lang"].to_numpy(int), best["chars"].to_numpy()
+        known = lang >= 0
+        names = np.array([*self.langs, UNKNOWN], dtype=object)[lang]
+        score = np.where(known, self.right[self.bin(best["ahead"].to_numpy())], 0.0)
+        far = np.zeros(len(best))
+        limit = np.zeros(len(best))
+        if self.langs:
+            usual = self.usual[np.where(known, lang, 0)]
+            with np.errstate(invalid="ignore"):
+                far = (best["entropy"].to_numpy() - usual[:, 0]) * np.sqrt(chars)
+            limit = usual[:, 2]
+        return pd.DataFrame({"lang_pred": names, "score": score, "rejected": ~known | (far > limit),
+                             "cross_entropy": np.where(known, best["entropy"], np.nan)})
+
 
 def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n) over all documents with a language, stored."""
@@ -226,17 +293,23 @@ def kneser_ney(order: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _lookup(values: DataFrame, langs: list[str], bits: int, missing: float) -> Lookup:
-    """At most ``2 ** bits`` rows come to the driver."""
-    by_gram = values.groupBy(F.xxhash64("gram").alias("hash")).agg(
-        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias("by"))  # one entry a language
-    row = F.struct("hash", F.array(*[F.coalesce(F.try_element_at("by", F.lit(x)), F.lit(missing)).cast("float") for x in langs]).alias("v"))
-    place = F.shiftrightunsigned("hash", 64 - bits).alias("place")
-    kept = by_gram.select(place, row.alias("row"), F.struct("n", "hash").alias("rank")).groupBy("place").agg(
-        F.max_by("row", "rank").alias("row")).select("row.hash", "row.v").toPandas()
+    """At most ``2 ** bits`` rows come to the driver: all grams, or the most frequent of
+    each place. All grams stay in the lookup's table."""
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "value")))  # one entry a language
+    table = stored(values.groupBy("gram").agg(F.sum("n").alias("n"), by.alias("by")).select(
+        "gram", "n", F.array(*[F.coalesce(F.try_element_at("by", F.lit(x)), F.lit(missing)).cast("float") for x in langs]).alias("v")),
+        "lang-values")
+    rows = table.select(F.xxhash64("gram").alias("hash"), "n", "v")
+    whole = table.count() <= 1 << bits
+    if not whole:
+        place = F.shiftrightunsigned("hash", 64 - bits).alias("place")
+        rows = rows.groupBy(place).agg(F.max_by(F.struct("hash", "v"), F.struct("n", "hash")).alias("row"),
+                                       (F.count("*") > 1).alias("crowded")).select("row.hash", "row.v", "crowded")
+    kept = rows.drop("n").toPandas()
     keys = kept["hash"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(keys)
-    rows = np.array(kept["v"].tolist(), np.float32).reshape(len(keys), len(langs))
-    return Lookup(keys[by], rows[by], missing)
+    order = np.argsort(keys)
+    of = np.array(kept["v"].tolist(), np.float32).reshape(len(keys), len(langs))
+    return Lookup(keys[order], of[order], missing, table.select("gram", "v"), bits, None if whole else kept["crowded"].to_numpy(bool)[order])
 
 
 def place_bits(langs: int, max_bytes: int) -> int:
@@ -278,10 +351,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_byt
 def calibrated(model: Model, docs: DataFrame, text_col: str, lang_col: str, reject: float) -> Model:
     if not model.langs:
         return model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     code = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col(lang_col).cast("string")) - 1
-    found = stored(docs.select(code.cast("int").alias("truth"), _best(F.col(text_col), shared).alias("b")).select("truth", "b.*").where(
-        F.col("lang") >= 0), "lang-calibration")
+    known = docs.select(code.cast("int").alias("truth"), F.col(text_col).alias("text"))
+    found = stored(_with_best(known, model, "text", Model.binned, "lang int, entropy double, chars long, bin int").select(
+        "truth", "_found.*").where(F.col("lang") >= 0), "lang-calibration")
     groups = found.groupBy("bin").agg(F.count_if(F.col("lang") == F.col("truth")).alias("right"), F.count("*").alias("n")).collect()
     right, total = np.zeros(BINS), np.zeros(BINS)
     for r in groups:  # at most BINS
@@ -298,42 +371,73 @@ def calibrated(model: Model, docs: DataFrame, text_col: str, lang_col: str, reje
     return model
 
 
-def _best(text: Column, shared) -> Column:
-    """Struct of the best language; ``shared`` is the broadcast model."""
+def _with_best(docs: DataFrame, model: Model, text_col: str, finish: Callable[[Model, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``docs`` with the struct ``_found``: what ``finish`` makes of each text's best language."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang int, entropy double, chars long, bin int")
+    @F.pandas_udf(schema)
     def of(texts: pd.Series) -> pd.DataFrame:
-        out = shared.value.batch(texts)
-        out["bin"] = shared.value.bin(out["ahead"].to_numpy())
-        return out[["lang", "entropy", "chars", "bin"]]
+        return finish(shared.value, shared.value.batch(texts))
 
-    return of(text.cast("string"))
+    @F.pandas_udf(schema)
+    def of_sums(logs: pd.Series, chars: pd.Series) -> pd.DataFrame:
+        m, sizes = shared.value, chars.to_numpy()
+        total = np.array(logs.tolist(), float).reshape(len(sizes), len(m.langs))
+        return finish(m, m.ranked(-total / np.maximum(sizes, 1)[:, None], sizes))
 
+    if model.whole:
+        return docs.withColumn("_found", of(F.col(text_col).cast("string")))
+    return _with_sums(docs, model, shared, text_col).withColumn("_found", of_sums("_sum.logs", "_sum.chars"))
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score``, ``rejected`` and ``cross_entropy``."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean, cross_entropy double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        out = m.batch(texts)
-        lang, chars = out["lang"].to_numpy(int), out["chars"].to_numpy()
-        known = lang >= 0
-        names = np.array([*m.langs, UNKNOWN], dtype=object)[lang]
-        score = np.where(known, m.right[m.bin(out["ahead"].to_numpy())], 0.0)
-        far = np.zeros(len(out))
-        limit = np.zeros(len(out))
-        if m.langs:
-            usual = m.usual[np.where(known, lang, 0)]
-            with np.errstate(invalid="ignore"):
-                far = (out["entropy"].to_numpy() - usual[:, 0]) * np.sqrt(chars)
-            limit = usual[:, 2]
-        return pd.DataFrame({"lang_pred": names, "score": score, "rejected": ~known | (far > limit),
-                             "cross_entropy": np.where(known, out["entropy"], np.nan)})
+def _with_sums(docs: DataFrame, model: Model, shared, text_col: str) -> DataFrame:
+    """``docs`` with the struct ``_sum``: log probability of the text by language, over all
+    its grams, and its characters. Grams that the arrays leave out are joined once for
+    equal texts (by SHA-256)."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in slices(batch["text"]):
+                key = batch["_key"].to_numpy()[a:b]
+                logs, chars, text, gram, times = shared.value.parts(batch["text"].iloc[a:b])
+                yield pd.DataFrame({"_key": key, "logs": list(logs), "chars": chars, "gram": 0, "times": 0})
+                yield pd.DataFrame({"_key": key[text], "logs": None, "chars": 0, "gram": gram, "times": times})
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.unhex(F.sha2(text.cast("binary"), 256)).alias("_key")
+    flat = stored(docs.select(key, text.alias("text")).mapInPandas(
+        parts, "_key binary, logs array<double>, chars long, gram long, times long"), "lang-parts")
+    texts = flat.where(F.col("times") == 0).groupBy("_key").agg(F.count("*").alias("_n"), F.first("logs").alias("logs"), F.max("chars").alias("chars"))
+    other = stored(flat.where(F.col("times") > 0).groupBy("_key", "gram").agg(F.max("times").alias("times")), "lang-others")
+    facts = _from_tables(other.groupBy("gram").agg(F.count("*").alias("n")), model)
+    more = spread_join(other, facts, "gram", "n", facts.agg(F.sum("n")).first()[0] or 0).groupBy("_key").agg(
+        F.array(*[F.sum(F.col("times") * F.col("logs")[k]) for k in range(len(model.langs))]).alias("more"))
+    logs = F.when(F.col("more").isNull(), F.col("logs")).otherwise(F.zip_with("logs", "more", lambda a, b: a + b))
+    sums = stored(texts.join(more, "_key", "left").select("_key", "_n", F.struct(logs.alias("logs"), "chars").alias("_sum")), "lang-sums")
+    return spread_join(docs.select("*", key), sums, "_key", "_n", sums.agg(F.sum("_n")).first()[0] or 0).drop("_key")
+
+
+def _from_tables(grams: DataFrame, model: Model) -> DataFrame:
+    """(gram, n) with ``logs``, as ``Model.logs`` but from the whole tables, order by order."""
+    size = len(model.langs)
+    rows = stored(grams.withColumn("logs", F.array_repeat(F.lit(1.0 / model.symbols), size)), "lang-logs")
+    total = rows.count()
+    for k in range(1, ORDER + 1):
+        tail = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)) if k < ORDER else F.col("gram")
+        for look, key, step in ((model.rest[k - 1], F.shiftrightunsigned(tail, 16), lambda p, v: p * v),
+                                (model.seen[k - 1], tail, lambda p, v: p + v)):
+            keyed = rows.withColumn("key", key)
+            none = F.array_repeat(F.lit(look.missing).cast("float"), size)
+            facts = keyed.groupBy("key").agg(F.count("*").alias("rows")).join(
+                look.table.withColumnRenamed("gram", "key"), "key", "left").withColumn("v", F.coalesce("v", none))
+            rows = stored(spread_join(keyed, facts, "key", "rows", total).select("gram", "n", F.zip_with("logs", "v", step).alias("logs")), "lang-logs")
+    return rows.withColumn("logs", F.transform("logs", lambda p: F.log(p)))
+
 
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score``, ``rejected`` and ``cross_entropy``."""
     added = ["lang_pred", "score", "rejected", "cross_entropy"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    return docs.select(*kept, of(F.col(text_col).cast("string")).alias("_found")).select(*kept, *[f"_found.{c}" for c in added])
+    found = _with_best(docs, model, text_col, Model.named, "lang_pred string, score double, rejected boolean, cross_entropy double")
+    return found.select(*kept, *[f"_found.{c}" for c in added])

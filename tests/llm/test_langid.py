@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from logscope.llm import common
 from logscope.llm import langid as L
 from logscope.llm.queries import QUERIES
 
@@ -174,3 +175,36 @@ def test_a_language_never_counted_twice_by_rows_of_any_order(spark):
     got = {(r["lang"], "".join(chr((r["gram"] >> 16 * k) & 0xFFFF) for k in (3, 2, 1, 0))): r["n"]
            for r in L.counts(df.repartition(3), "text", "lang").collect()}
     assert got == dict(want)
+
+
+def test_grams_that_fit_are_all_kept_and_others_are_told(spark):
+    grams = list(range(100, 164))
+    df = spark.createDataFrame([("xx", g, g, 0.5) for g in grams], "lang string, gram long, n long, value double")
+    every = np.array(grams, np.uint64)
+    fits, small = L._lookup(df, ["xx"], 6, 0.0), L._lookup(df, ["xx"], 3, 0.0)
+    assert (fits.of(every) > 0).all() and not fits.left_out(every).any()  # 64 grams share less than 64 places
+    assert ((small.of(every)[:, 0] == 0) == small.left_out(every)).all() and small.left_out(every).sum() == 64 - len(small.keys) >= 56
+    assert small.table.count() == 64
+
+
+@pytest.mark.parametrize("heavy", [1, 1 << 40])
+def test_grams_beyond_the_size_bound_come_from_the_tables(spark, corpus, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)  # 1: rows join by shuffle
+    whole = corpus[1]
+    docs = spark.createDataFrame(corpus[0], "doc_id long, text string, lang string, score int")
+    small = L.fit(docs, max_bytes=16 * 2 * L.ORDER * (8 + 4 * 3))
+    assert whole.whole and not small.whole and all(len(x.keys) <= 16 for x in small.seen + small.rest)
+    np.testing.assert_allclose(small.usual, whole.usual, rtol=1e-6)
+    np.testing.assert_allclose(small.right, whole.right)
+    rng = random.Random(7)
+    rows = [(i, invented(rng, y), y) for i in range(100) for y in ["aa", "bb", "cc"]]
+    rows += [(None, "anderich zxw", "aa")] * 50 + [(1, None, "aa"), (2, "", None), (3, " 12 !?", "bb"), (4, "𝒜𝒷 汉字", "cc"), (5, "koou " * 9000, "cc")]
+    odd = spark.createDataFrame(rows, "`a.id` long, text string, lang string")
+    key = lambda r: (str(r["a.id"]), str(r["text"]), str(r["lang"]))
+    want, got = (sorted(L.predict(odd, m).collect(), key=key) for m in (whole, small))
+    assert len(want) == len(got) == len(rows)
+    for w, g in zip(want, got):
+        assert (key(w), w["lang_pred"], w["score"], w["rejected"]) == (key(g), g["lang_pred"], g["score"], g["rejected"])
+        known = w["cross_entropy"] is not None
+        assert g["cross_entropy"] == (pytest.approx(w["cross_entropy"], rel=1e-6) if known else None)
+    assert L.predict(odd.limit(0), small).count() == 0
